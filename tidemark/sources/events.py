@@ -23,7 +23,11 @@ def event_volume(cents: Column, keep: Column) -> Column:
 
 
 def meter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return as_meter_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_meter_events(events: DataFrame) -> DataFrame:
+    return events.select(
         F.floor(F.col("user_id") / FLATS_PER_BUILDING).cast("bigint").alias(METER),
         "ts",
         "event_id",
