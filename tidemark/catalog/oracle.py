@@ -46,8 +46,8 @@ def rnd(x: str, digits: int) -> str:
 def stable(x: str) -> str:
     """Six decimals for ordinary values, nine to ten significant digits for huge ones."""
     return (
-        f"(CASE WHEN abs({x}) < 1e6 THEN round({x}, 6) "
-        f"ELSE round(({x}) / 1e6, 3) * 1e6 END + 0.0::DOUBLE)"
+        f"(CASE WHEN abs({x}) < 1e6 THEN round_even(({x}) * 1e6, 0) / 1e6 "
+        f"ELSE round_even(({x}) / 1e3, 0) * 1e3 END + 0.0::DOUBLE)"
     )
 
 
@@ -208,7 +208,7 @@ def _list(c: str) -> str:
 
 
 def _mad(values: str, center: str) -> str:
-    deviations = f"list_sort(list_transform({values}, lambda v: abs(v - {center})))"
+    deviations = f"list_sort(list_transform({values}, lambda dev: abs(dev - {center})))"
     return f"({quantile(deviations, 0.5)} * {dbl(1.4826)} + 1e-6)"
 
 

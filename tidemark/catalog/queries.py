@@ -57,7 +57,7 @@ def stable(c: str) -> Column:
     """Six decimals, or nine to ten significant digits of huge values: what two engines agree on."""
     v = F.col(c)
     return (
-        F.when(F.abs(v) < 1e6, F.round(v, 6)).otherwise(F.round(v / 1e6, 3) * 1e6) + F.lit(0.0)
+        F.when(F.abs(v) < 1e6, F.rint(v * 1e6) / 1e6).otherwise(F.rint(v / 1e3) * 1e3) + F.lit(0.0)
     ).alias(c)
 
 
@@ -581,8 +581,8 @@ def label_join(spark, d):
     return X.label_join(hours, decisions_full(spark, d)).select(*KEYS, "is_anomaly_final", "label")
 
 
-BASE_EXACT = ("mu_itp", "mu_odpu", "mu_delta", "mu_ratio")
-BASE_ROUNDED = tuple(c for c in B.STATISTICS if c not in BASE_EXACT)
+BASE_ROUNDED = ("beta_delta_w", "beta_ratio_w")
+BASE_EXACT = tuple(c for c in B.STATISTICS if c not in BASE_ROUNDED)
 
 
 @query(
@@ -679,13 +679,13 @@ def robust_mad(spark, d):
     )
     keys = [METER, "event_type"]
     center = amounts.groupBy(*keys).agg(
-        F.percentile("cents", F.lit(0.5), "n").alias("center"), F.sum("n").alias("total")
+        F.percentile("cents", 0.5, F.col("n")).alias("center"), F.sum("n").alias("total")
     )
     deviation = F.abs(F.col("cents") - F.col("center"))
     return (
         amounts.join(center, keys)
         .groupBy(*keys)
-        .agg(F.max("total").alias("n"), F.percentile(deviation, F.lit(0.5), "n").alias("mad"))
+        .agg(F.max("total").alias("n"), F.percentile(deviation, 0.5, F.col("n")).alias("mad"))
         .select(*keys, "n", (F.col("mad") * DEFAULTS.mad_scale + DEFAULTS.sigma_floor).alias("sigma"))
         .select(*keys, "n", stable("sigma"))
     )
@@ -722,12 +722,10 @@ def baseline_fill_168(spark, d):
 
 @query(
     "global_sigma",
-    f"SELECT meter_id, {O.stable_cols('global_sigma_delta', 'global_sigma_ratio')} FROM overall",
+    "SELECT meter_id, global_sigma_delta, global_sigma_ratio FROM overall",
 )
 def global_sigma(spark, d):
-    return B.global_sigma(train(spark, d)).select(
-        METER, stable("global_sigma_delta"), stable("global_sigma_ratio")
-    )
+    return B.global_sigma(train(spark, d))
 
 
 @query("incidents", O.incident_sql("isl_full"))
