@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -13,7 +13,7 @@ from tidemark.functions import time as T
 from tidemark.operators.detect import QUALITY_FLAGS
 from tidemark.operators.grid import with_series_bounds
 from tidemark.params import DEFAULTS, Params
-from tidemark.plans.series import DAILY, HOURLY, METER, Layout, over_series, window
+from tidemark.plans.series import DAILY, HOURLY, METER, Layout, over, over_series, window
 
 HOURLY_BASES = ("delta_m3", "ratio", "rel_diff", *QUALITY_FLAGS)
 DAILY_BASES = (
@@ -28,7 +28,9 @@ DAILY_BASES = (
     "week_sin",
     "week_cos",
 )
-STATS = ("mean", "std", "min", "max")
+
+# Rolling statistics by the name they get in a column.
+AGGREGATES = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 # Numeric and boolean columns of the processed table that models may use, in order.
 HOURLY_RAW_FEATURES = (
@@ -135,15 +137,6 @@ def hourly_base(
 # --------------------------------------------------------------------------- lags and rolling
 
 
-def _rolling(value: str, rows, least: int, suffix: str) -> list[Column]:
-    """Mean, sample deviation, minimum and maximum; NULL with fewer than ``least`` values."""
-    enough = F.count(value).over(rows) >= least
-    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return [
-        F.when(enough, stats[s](value).over(rows)).alias(f"{suffix}_{s}") for s in STATS
-    ]
-
-
 def lag_and_rolling(
     df: DataFrame,
     bases: tuple[str, ...],
@@ -154,27 +147,36 @@ def lag_and_rolling(
     *,
     differences: bool = False,
 ) -> DataFrame:
-    """All lags and rolling statistics in one pass over one window specification."""
+    """All lags and rolling statistics in one pass over one window specification.
+
+    A rolling statistic is NULL with fewer than ``max(2, width // 2)`` values.
+    """
     bases = tuple(b for b in bases if b in df.columns)
-    reach = max((*lags, *(w - 1 for w in windows), 1))
-    layout = layout.needing(before=reach)
+    layout = layout.needing(before=max((*lags, *(w - 1 for w in windows), 1)))
 
     def body(parts: DataFrame) -> DataFrame:
-        order = window(layout)
-        numbers = parts.select(
-            "*", *[F.col(b).cast("int").cast("double").alias(f"_{b}")
-                   if parts.schema[b].dataType == t.BooleanType()
-                   else F.col(b).cast("double").alias(f"_{b}") for b in bases]
+        booleans = {f.name for f in parts.schema if isinstance(f.dataType, t.BooleanType)}
+        numbers = parts.selectExpr(
+            "*",
+            *[
+                f"CAST({f'CAST({b} AS INT)' if b in booleans else b} AS DOUBLE) AS _{b}"
+                for b in bases
+            ],
         )
-        out: list[Column] = []
+        row = over(layout)
+        out: list[str] = []
         for b in bases:
-            out += [F.lag(f"_{b}", n).over(order).alias(f"{b}_lag{n}{unit}") for n in lags]
+            out += [f"lag(_{b}, {n}) {row} AS {b}_lag{n}{unit}" for n in lags]
             for w in windows:
-                rows = order.rowsBetween(1 - w, 0)
-                out += _rolling(f"_{b}", rows, max(2, w // 2), f"{b}_roll{w}{unit}")
+                rows = over(layout, f"ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW")
+                out += [
+                    f"IF(count(_{b}) {rows} >= {max(2, w // 2)}, {call}(_{b}) {rows}, NULL)"
+                    f" AS {b}_roll{w}{unit}_{stat}"
+                    for stat, call in AGGREGATES.items()
+                ]
             if differences:
-                out.append((F.col(f"_{b}") - F.lag(f"_{b}", 1).over(order)).alias(f"{b}_diff1"))
-        return numbers.select(*parts.columns, *out)
+                out.append(f"_{b} - lag(_{b}, 1) {row} AS {b}_diff1")
+        return numbers.selectExpr(*parts.columns, *out)
 
     return over_series(df, layout, body)
 
@@ -337,7 +339,7 @@ def rolled_names(
     names = []
     for b in bases:
         names += [f"{b}_lag{n}{unit}" for n in lags]
-        names += [f"{b}_roll{w}{unit}_{s}" for w in windows for s in STATS]
+        names += [f"{b}_roll{w}{unit}_{s}" for w in windows for s in AGGREGATES]
         if differences:
             names.append(f"{b}_diff1")
     return names

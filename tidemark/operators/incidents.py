@@ -53,7 +53,7 @@ def incident_islands(
         starts = compared.select(
             *parts.columns, F.when(~F.coalesce(same, F.lit(False)), F.col("ts")).alias("_start")
         )
-        return last_seen(starts, {"island_start": F.col("_start")}, layout).drop("_start")
+        return last_seen(starts, {"island_start": "_start"}, layout).drop("_start")
 
     return over_series(decisions, layout, body)
 

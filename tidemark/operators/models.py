@@ -32,7 +32,7 @@ from tidemark.params import DEFAULTS, Params
 from tidemark.plans.series import DAILY, HOURLY, METER, Layout
 from tidemark.plans.staging import stage_table
 
-PARALLEL_FITS = 4  # driver threads that submit fits; every fit is a distributed job
+PARALLEL_FITS = 6  # driver threads that submit fits; every fit is a distributed job
 
 
 def build_estimator(name: str, params: Params = DEFAULTS) -> Estimator:
@@ -240,24 +240,14 @@ def latest_features(
     table: DataFrame, names: list[str], kind: Granularity, params: Params = DEFAULTS
 ) -> DataFrame:
     """The newest feature row of every meter, gaps filled from earlier rows, then with 0."""
-    rows = table.select(METER, kind.time, *names)
+    kinds = dict(table.dtypes)
     last = table.groupBy(METER).agg(
         F.max(kind.time).alias(kind.time),
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(kind.time))).alias(c) for c in names
-        ],
+        *[F.expr(f"max_by({c}, IF({c} IS NULL, NULL, {kind.time}))").alias(c) for c in names],
     )
-    types = dict(rows.dtypes)
-    return last.select(
-        METER,
-        kind.time,
-        *[
-            F.coalesce(
-                (F.col(c).cast("int") if types[c] == "boolean" else F.col(c)).cast("double"),
-                F.lit(0.0),
-            ).alias(c)
-            for c in names
-        ],
+    numbers = {c: f"CAST({c} AS INT)" if kinds[c] == "boolean" else c for c in names}
+    return last.selectExpr(
+        METER, kind.time, *[f"coalesce(CAST({n} AS DOUBLE), 0.0D) AS {c}" for c, n in numbers.items()]
     )
 
 

@@ -98,7 +98,7 @@ def quality_flags(
         runs = run_lengths(
             states,
             {
-                f"{p}_{kind}_run": F.col(f"_{p}_{kind}")
+                f"{p}_{kind}_run": f"_{p}_{kind}"
                 for p in channels.values()
                 for kind in ("zero", "flat")
             },
@@ -185,5 +185,10 @@ def daily_report(processed: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def run_length(df: DataFrame, flag: Column, name: str, layout: Layout = HOURLY) -> DataFrame:
     """Length of the current run of hours for which ``flag`` holds."""
-    return over_series(df, layout, lambda parts: run_lengths(parts, {name: flag}, layout))
+
+    def body(parts: DataFrame) -> DataFrame:
+        flagged = parts.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+        return run_lengths(flagged, {name: "_flag"}, layout).drop("_flag")
+
+    return over_series(df, layout, body)
 

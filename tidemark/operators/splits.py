@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import numeric as N
 from tidemark.functions import time as T
 from tidemark.operators.grid import with_series_bounds
 from tidemark.params import DEFAULTS, Params
@@ -67,29 +66,30 @@ def impute(
     ``group`` keeps folds and roles apart. A leading gap only ever sees the first known value of
     its group, so the backward fill is an aggregate, not a second pass.
     """
-    types = dict(df.dtypes)
-
-    def clean(c: str):
-        if types[c] in ("double", "float"):
-            return N.finite(F.col(f"_raw_{c}").cast("double"))
-        return F.col(f"_raw_{c}").cast("double")
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    infinite = "double('infinity')"
 
     def body(parts: DataFrame) -> DataFrame:
         rest = [c for c in parts.columns if c not in features]
-        raw = parts.select(*rest, *[F.col(c).alias(f"_raw_{c}") for c in features])
+        numbers = parts.selectExpr(
+            *rest,
+            *[
+                f"IF(isnan({c}) OR abs({c}) = {infinite}, NULL, {c}) AS {c}"
+                if c in floating
+                else f"CAST(CAST({c} AS INT) AS DOUBLE) AS {c}"
+                for c in features
+            ],
+        )
         seen = last_seen(
-            raw,
-            {c: clean(c) for c in features},
+            numbers,
+            {c: c for c in features},
             layout,
             group=group,
             first_of_group={f"_first_{c}": c for c in features} if backward else None,
         )
-        return seen.select(
-            *rest,
-            *[
-                F.coalesce(c, *([f"_first_{c}"] if backward else []), F.lit(0.0)).alias(c)
-                for c in features
-            ],
+        fallback = "_first_{}, 0.0D" if backward else "0.0D"
+        return seen.selectExpr(
+            *rest, *[f"coalesce({c}, {fallback.format(c)}) AS {c}" for c in features]
         )
 
     return over_series(df, layout, body)
@@ -99,20 +99,13 @@ def varying_features(df: DataFrame, features: list[str]) -> DataFrame:
     """One row per feature that takes more than one value; a single pass over all columns."""
     ranges = df.agg(
         *[
-            F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"))
-            .alias(c)
+            F.expr(f"{end}({c})").alias(f"{end}_{c}")
             for c in features
+            for end in ("min", "max")
         ]
     )
-    return (
-        ranges.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in features])
-            ).alias("f")
-        )
-        .where(F.col("f.r.low") != F.col("f.r.high"))
-        .select("f.feature")
-    )
+    varying = ", ".join(f"IF(min_{c} <> max_{c}, '{c}', NULL)" for c in features)
+    return ranges.selectExpr(f"explode(array_compact(array({varying}))) AS feature")
 
 
 def class_weights(df: DataFrame, params: Params = DEFAULTS, label: str = "y") -> DataFrame:

@@ -98,9 +98,15 @@ def over_series(
     return core(body(spread(df, layout)), layout)
 
 
+def over(layout: Layout, rows: str = "", group: tuple[str, ...] = ()) -> str:
+    """The ``OVER`` clause of :func:`window`, for tables with hundreds of window columns."""
+    keys = ", ".join((METER, PART, *group))
+    return f"OVER (PARTITION BY {keys} ORDER BY {layout.time} {rows})"
+
+
 def last_seen(
     parts: DataFrame,
-    values: dict[str, Column],
+    values: dict[str, str],
     layout: Layout,
     *,
     warmup: int | None = None,
@@ -110,105 +116,102 @@ def last_seen(
 ) -> DataFrame:
     """Latest non-NULL value at or before each row, looking back over the whole series.
 
-    ``values`` maps an output column to the (nullable) value. ``warmup`` is the number of leading
-    halo rows whose values cannot be trusted because they themselves looked back beyond the halo
-    (by default the whole halo; rows inside it then get no valid result). ``group`` restricts the look-back to
-    rows with equal group columns. ``series_first`` names an output column for the position of the
-    first row of the series (or group). ``first_of_group`` maps an output column to one of the
-    ``values`` and returns the earliest non-NULL value of the whole group.
+    ``values`` maps output columns to input columns (equal names replace the input). ``group``
+    restricts the look-back to rows with equal group columns. ``warmup`` is the number of leading
+    halo rows that cannot be trusted because they themselves looked back beyond the halo; by
+    default the whole halo, and rows inside it then get no valid result. ``series_first`` names an
+    output for the position of the first row of the series (or group). ``first_of_group`` maps
+    further outputs to outputs of ``values``: their earliest non-NULL value in the whole group.
     """
     keys = [METER, PART, *group]
-    first_of_group = first_of_group or {}
+    leads = first_of_group or {}
     warmup = layout.before if warmup is None else warmup
-    position = layout.position()
-    offset = F.pmod(position, F.lit(layout.size))
-    # The part itself looks at its own rows, the rows after it and the trusted end of the halo
+    offset = F.pmod(layout.position(), F.lit(layout.size))
+    # A part itself looks at its own rows, the rows after it and the trusted end of the halo
     # before it. Whatever lies further back comes from the summaries of earlier parts.
     settled = layout.size - layout.before + warmup
-    visible = (layout.home() >= F.col(PART)) | (offset >= settled)
-    here = window(layout, *group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parts.select(
-        "*",
-        *[F.when(visible, v).alias(f"_{n}") for n, v in values.items()],
-    ).select(
-        *parts.columns,
-        *[F.last(f"_{n}", ignorenulls=True).over(here).alias(n) for n in values],
+    keep = [c for c in parts.columns if c not in values]
+    to_here = over(layout, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", group)
+    anywhere = over(layout, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", group)
+    local = parts.withColumns(
+        {
+            "_pos": layout.position(),
+            "_home": layout.home() == F.col(PART),
+            "_head": offset < settled,
+            "_visible": (layout.home() >= F.col(PART)) | (offset >= settled),
+        }
+    ).selectExpr(
+        *keep,
+        "_pos",
+        "_home",
+        "_head",
+        *[f"last(IF(_visible, {c}, NULL), true) {to_here} AS {n}" for n, c in values.items()],
+        *[f"first(IF(_home, {values[n]}, NULL), true) {anywhere} AS {o}" for o, n in leads.items()],
     )
-    in_head = offset < settled
+
+    # One row per part. Rows that are copied into the next part's halo are not in "head": the next
+    # part sees them itself, in their proper order.
+    latest = f"struct({', '.join(values)})"
+    firsts = [f"first(struct({', '.join(leads)})) AS _leads"] if leads else []
     summary = (
-        parts.select(*keys, layout.time, *[v.alias(n) for n, v in values.items()])
-        .where(F.col(PART) == layout.home())
+        local.where("_home")
         .groupBy(*keys)
         .agg(
-            F.min(position).alias("_first"),
-            *[
-                F.max_by(n, F.when(F.col(n).isNotNull(), position)).alias(f"_all_{n}")
-                for n in values
-            ],
-            *[
-                F.max_by(n, F.when(F.col(n).isNotNull() & in_head, position)).alias(f"_head_{n}")
-                for n in values
-            ],
-            *[
-                F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(f"_lead_{n}")
-                for n in first_of_group.values()
-            ],
+            *map(
+                F.expr,
+                [
+                    "min(_pos) AS _first",
+                    f"max_by({latest}, _pos) AS _all",
+                    f"max_by({latest}, IF(_head, _pos, NULL)) AS _before_halo",
+                    *firsts,
+                ],
+            )
         )
     )
-    by_part = Window.partitionBy(METER, *group).orderBy(PART)
-    whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    older = by_part.rangeBetween(Window.unboundedPreceding, -2)
-    previous = by_part.rangeBetween(-1, -1)
-    carried = summary.select(
+    by_part = f"PARTITION BY {', '.join((METER, *group))} ORDER BY {PART}"
+    whole = f"OVER ({by_part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    older = f"OVER ({by_part} RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
+    previous = f"OVER ({by_part} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    first = [f"min(_first) {whole} AS {series_first}"] if series_first else []
+    carried = summary.selectExpr(
         *keys,
         *[
-            F.coalesce(
-                F.last(f"_head_{n}", ignorenulls=True).over(previous),
-                F.last(f"_all_{n}", ignorenulls=True).over(older),
-            ).alias(f"_carried_{n}")
+            f"coalesce(last(_before_halo.{n}, true) {previous}, last(_all.{n}, true) {older})"
+            f" AS _carried_{n}"
             for n in values
         ],
-        *[
-            F.first(f"_lead_{n}", ignorenulls=True).over(whole).alias(out)
-            for out, n in first_of_group.items()
-        ],
-        *([F.min("_first").over(whole).alias(series_first)] if series_first else []),
+        *[f"first(_leads.{o}, true) {whole} AS _group_{o}" for o in leads],
+        *first,
     )
-    joined = local.join(carried, keys, "left")
-    return joined.select(
-        *parts.columns,
-        *[F.coalesce(n, f"_carried_{n}").alias(n) for n in values],
-        *first_of_group,
+    return local.join(carried, keys, "left").selectExpr(
+        *keep,
+        *[f"coalesce({n}, _carried_{n}) AS {n}" for n in values],
+        *[f"_group_{o} AS {o}" for o in leads],
         *([series_first] if series_first else []),
     )
 
 
 def run_lengths(
-    parts: DataFrame, flags: dict[str, Column], layout: Layout, warmup: int | None = None
+    parts: DataFrame, flags: dict[str, str], layout: Layout, warmup: int | None = None
 ) -> DataFrame:
-    """Length of the current run of true flags, 0 outside a run.
+    """Length of the current run of a true flag column, 0 outside a run.
 
     On a gap-free grid that is the distance to the last row whose flag is false.
     """
-    position = layout.position()
-    named = parts.select("*", *[f.alias(f"_flag_{n}") for n, f in flags.items()])
+    breaks = parts.withColumn("_at", layout.position()).selectExpr(
+        "*", *[f"IF({f}, NULL, _at) AS _break_{n}" for n, f in flags.items()]
+    )
     seen = last_seen(
-        named,
-        {f"_break_{n}": F.when(~F.col(f"_flag_{n}"), position) for n in flags},
+        breaks,
+        {f"_break_{n}": f"_break_{n}" for n in flags},
         layout,
         warmup=warmup,
         series_first="_series_first",
     )
-    return seen.select(
+    return seen.selectExpr(
         *parts.columns,
         *[
-            F.when(
-                F.col(f"_flag_{n}"),
-                position - F.coalesce(f"_break_{n}", F.col("_series_first") - 1),
-            )
-            .otherwise(0)
-            .cast("int")
-            .alias(n)
-            for n in flags
+            f"CAST(IF({f}, _at - coalesce(_break_{n}, _series_first - 1), 0) AS INT) AS {n}"
+            for n, f in flags.items()
         ],
     )
