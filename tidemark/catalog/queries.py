@@ -24,9 +24,9 @@ from tidemark.operators import metrics as M
 from tidemark.operators import models as ML
 from tidemark.operators import quality as Q
 from tidemark.operators import splits as P
-from tidemark.params import CAUSE_LABEL, CAUSE_PRIOR, CAUSE_RULE, DEFAULTS, UNKNOWN_LABEL
+from tidemark.params import CAUSE_LABEL, CAUSE_PRIOR, CAUSE_RULE, DEFAULTS, UNKNOWN_LABEL, Params
 from tidemark.plans import runs
-from tidemark.plans.series import METER, core
+from tidemark.plans.series import METER, core, spread
 from tidemark.plans.staging import scratch_path, stage, stage_table
 from tidemark.sources import events as E
 from tidemark.sources import readings as R
@@ -40,6 +40,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 KEYS = (METER, "ts")
+POST_TEXTS = ("cause_label", "cause_rule", "anomaly")
+PERCENTS = tuple(f"pct_{c}" for c in CAUSE_PRIOR)
 CHANNELS = ("xvs_m3", "gvs_m3", "supply_m3", "return_m3", "t1", "t2", "weather", "weekday")
 
 
@@ -68,13 +70,21 @@ def comma(*names: str) -> str:
 # --------------------------------------------------------------------------- shared inputs
 
 
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly grid as a table: the events are scanned once, however many branches follow."""
+    return G.weekday_normalize(stage_table(E.hourly_grid(spark, d), "grid"))
+
+
+def processed_parts(hours: DataFrame) -> DataFrame:
+    return runs.processed_parts(spread(hours, runs.RUN_LAYOUT))
+
+
 def processed(spark: SparkSession, d: str) -> DataFrame:
-    layout = runs.RUN_LAYOUT
-    return core(runs.processed_parts(E.hourly_grid_parts(spark, d, layout), layout=layout), layout)
+    return core(processed_parts(grid(spark, d)), runs.RUN_LAYOUT)
 
 
-def grid(spark: SparkSession, d: str) -> DataFrame:
-    return G.weekday_normalize(E.hourly_grid(spark, d))
+def fitted(hours: DataFrame) -> DataFrame:
+    return B.fit_baseline(G.train_test_tail(hours).where("is_train"))
 
 
 def train(spark: SparkSession, d: str) -> DataFrame:
@@ -82,20 +92,28 @@ def train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, d: str) -> DataFrame:
-    return B.fit_baseline(train(spark, d))
+    return fitted(grid(spark, d))
+
+
+def decided_parts(hours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Scored hours that still hold their inputs. Quality flags, scoring and whatever windows
+    follow share the layout and therefore one shuffle."""
+    return D.decide_hours(G.train_test_tail(processed_parts(hours)), fitted(hours), params)
 
 
 def decided(spark: SparkSession, d: str) -> DataFrame:
-    """Scored hours that still hold their inputs."""
-    return D.decide_hours(G.train_test_tail(processed(spark, d)), baseline(spark, d))
+    return core(decided_parts(grid(spark, d)), runs.RUN_LAYOUT)
 
 
-def decisions_full(spark: SparkSession, d: str) -> DataFrame:
-    """Post-processed decisions of all hours: quality, scoring and persistence on one layout."""
+def detected(spark: SparkSession, d: str, params: Params = DEFAULTS) -> DataFrame:
+    """Processed columns and post-processed decisions of all hours."""
     layout = runs.RUN_LAYOUT
-    parts = runs.processed_parts(E.hourly_grid_parts(spark, d, layout), layout=layout)
-    scored = D.decide_hours(parts, baseline(spark, d)).select(*D.DECISION_COLUMNS, "part")
-    return core(D.decision_postprocess(scored, layout=layout), layout)
+    parts = decided_parts(grid(spark, d), params)
+    return core(D.decision_postprocess(parts, params, layout), layout)
+
+
+def decisions_full(spark: SparkSession, d: str) -> DataFrame:
+    return detected(spark, d).select(*D.DECISION_COLUMNS, *POST_TEXTS, *PERCENTS)
 
 
 def decisions_test(spark: SparkSession, d: str, basic: bool = False) -> DataFrame:
@@ -103,13 +121,11 @@ def decisions_test(spark: SparkSession, d: str, basic: bool = False) -> DataFram
     return D.decision_postprocess(test, basic=basic)
 
 
-def base(spark: SparkSession, d: str) -> DataFrame:
-    return X.hourly_base(processed(spark, d), decisions_full(spark, d))
-
-
-def staged_base(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly base as a table, for queries that run many jobs on it."""
-    return stage_table(base(spark, d), "base")
+def base(spark: SparkSession, d: str, params: Params = DEFAULTS) -> DataFrame:
+    """The labelled hourly base, from a stored detection result."""
+    stored = stage_table(detected(spark, d, params), "detected")
+    hours = stored.select(*PROCESSED.split(", "), "series_start", "series_end")
+    return X.hourly_base(hours, stored.select(*D.DECISION_COLUMNS))
 
 
 PROCESSED = comma(
@@ -235,7 +251,6 @@ DECISIONS_EXACT = (
 )
 DECISIONS_ROUNDED = ("top_cause_prob", *D.PROBABILITIES)
 DECISION_SQL = f"{comma(*DECISIONS_EXACT)}, {O.stable_cols(*DECISIONS_ROUNDED)}"
-POST_TEXTS = ("cause_label", "cause_rule", "anomaly")
 POST_SQL = f"{DECISION_SQL}, {comma(*POST_TEXTS)}"
 
 
@@ -295,7 +310,7 @@ def sink_metrics(spark, d):
 def sink_models(spark, d):
     """Train, save, load and list what was loaded."""
     path = scratch_path(spark, "models")
-    table = ML.labelled_days(base(spark, d))
+    table = daily_table(spark, d)
     ML.save_bundle(ML.train_models(table, ML.DAYS), path)
     loaded = ML.load_bundle(path, ML.DAYS)
     rows = [(h, len(loaded.features[h])) for h in sorted(loaded.models)]
@@ -577,8 +592,7 @@ def safe_numeric(spark, d):
 
 @query("label_join", "SELECT meter_id, ts, is_anomaly_final, label FROM base")
 def label_join(spark, d):
-    hours = E.hourly_grid(spark, d)
-    return X.label_join(hours, decisions_full(spark, d)).select(*KEYS, "is_anomaly_final", "label")
+    return base(spark, d).select(*KEYS, "is_anomaly_final", "label")
 
 
 BASE_ROUNDED = ("beta_delta_w", "beta_ratio_w")
@@ -590,7 +604,8 @@ BASE_EXACT = tuple(c for c in B.STATISTICS if c not in BASE_ROUNDED)
     f"SELECT meter_id, ts, how, {comma(*BASE_EXACT)}, {O.stable_cols(*BASE_ROUNDED)} FROM found",
 )
 def baseline_lookup_join(spark, d):
-    return D.baseline_lookup(grid(spark, d), baseline(spark, d)).select(
+    hours = grid(spark, d)
+    return D.baseline_lookup(hours, fitted(hours)).select(
         *KEYS, "how", *BASE_EXACT, *[stable(c) for c in BASE_ROUNDED]
     )
 
@@ -637,7 +652,7 @@ def cause_label_lookup(spark, d):
     "SELECT meter_id, day, d.itp_xvs_m3, l.y_1, l.y_2, l.y_3 FROM days d JOIN labels_d l USING (meter_id, day)",
 )
 def horizon_label_align(spark, d):
-    b = base(spark, d)
+    b = stage_table(base(spark, d), "base")
     days = X.daily_table(b).select(METER, "day", "itp_xvs_m3")
     return X.align_day_labels(days, X.day_horizon_labels(X.day_labels(b)))
 
@@ -833,7 +848,7 @@ def run_summary(spark, d):
     "count(*) FILTER (WHERE label) AS n_ones FROM base",
 )
 def label_match_stats(spark, d):
-    return X.label_match_stats(X.label_join(E.hourly_grid(spark, d), decisions_full(spark, d)))
+    return X.label_match_stats(base(spark, d))
 
 
 # --------------------------------------------------------------------------- 2.5 windows
@@ -871,7 +886,8 @@ _quality_query("iqr_spike", "spike")
 
 @query("persistence_filter", "SELECT meter_id, ts, raw_is_anomaly, severe, is_anomaly_final FROM post_full")
 def persistence_filter(spark, d):
-    return D.persistence_filter(decided(spark, d)).select(
+    parts = D.persistence_filter(decided_parts(grid(spark, d)), layout=runs.RUN_LAYOUT)
+    return core(parts, runs.RUN_LAYOUT).select(
         *KEYS, "raw_is_anomaly", "severe", "is_anomaly_final"
     )
 
@@ -1063,20 +1079,23 @@ def concat_horizons(spark, d):
     "SELECT meter_id, ts, itp_xvs_m3, odpu_gvs_m3, delta_m3, ratio, z_delta, z_ratio FROM z",
 )
 def zscores(spark, d):
-    return D.zscores(D.baseline_lookup(grid(spark, d), baseline(spark, d))).select(
+    hours = grid(spark, d)
+    return D.zscores(D.baseline_lookup(hours, fitted(hours))).select(
         *KEYS, "itp_xvs_m3", "odpu_gvs_m3", "delta_m3", "ratio", "z_delta", "z_ratio"
     )
 
 
 @query("quantile_corridor", "SELECT meter_id, ts, corridor_flag FROM corridor")
 def quantile_corridor(spark, d):
-    scored = D.zscores(D.baseline_lookup(grid(spark, d), baseline(spark, d)))
+    hours = grid(spark, d)
+    scored = D.zscores(D.baseline_lookup(hours, fitted(hours)))
     return D.quantile_corridor(scored).select(*KEYS, "corridor_flag")
 
 
 @query("anomaly_decision", "SELECT meter_id, ts, raw_is_anomaly, severe, is_anomaly FROM decided")
 def anomaly_decision(spark, d):
-    scored = D.zscores(D.baseline_lookup(Q.balance(grid(spark, d)), baseline(spark, d)))
+    hours = grid(spark, d)
+    scored = D.zscores(D.baseline_lookup(Q.balance(hours), fitted(hours)))
     return D.anomaly_decision(scored).select(*KEYS, "raw_is_anomaly", "severe", "is_anomaly")
 
 
@@ -1085,7 +1104,9 @@ LOGS = [f"logp_{c}" for c in CAUSE_PRIOR]
 
 @query("cause_scores", f"SELECT meter_id, ts, {O.stable_cols(*LOGS)} FROM logs")
 def cause_scores(spark, d):
-    scored = D.zscores(D.baseline_lookup(processed(spark, d), baseline(spark, d)))
+    hours = grid(spark, d)
+    flagged = core(processed_parts(hours), runs.RUN_LAYOUT)
+    scored = D.zscores(D.baseline_lookup(flagged, fitted(hours)))
     return D.cause_scores(scored).select(*KEYS, *[stable(c) for c in LOGS])
 
 
@@ -1102,10 +1123,7 @@ def cause_posteriors(spark, d):
 
 @query("detect_hours", f"SELECT {DECISION_SQL} FROM dec")
 def detect_hours(spark, d):
-    return decision_columns(D.detect_hours(processed(spark, d), baseline(spark, d)))
-
-
-PERCENTS = [f"pct_{c}" for c in CAUSE_PRIOR]
+    return decision_columns(decided(spark, d))
 
 
 @query(
@@ -1114,7 +1132,11 @@ PERCENTS = [f"pct_{c}" for c in CAUSE_PRIOR]
     f"UNION ALL SELECT 'basic', {POST_SQL}, {comma(*PERCENTS)} FROM post_basic",
 )
 def decision_postprocess(spark, d):
-    variants = {"full": decisions_full(spark, d), "basic": decisions_test(spark, d, basic=True)}
+    scored = stage_table(decided(spark, d), "decided")
+    variants = {
+        "full": D.decision_postprocess(scored),
+        "basic": D.decision_postprocess(scored.where("is_test"), basic=True),
+    }
     return ML.concat_horizons(
         [
             decision_columns(df, *POST_TEXTS, *PERCENTS).select(F.lit(name).alias("variant"), "*")
@@ -1157,6 +1179,15 @@ def backtest_fold_facts(spark, d):
     return P.fold_facts(long, (METER, "horizon_h"))
 
 
+# Random volumes give many hour-of-week slots a deviation of almost zero, so by default every day
+# has a severe hour and daily labels have one class. Daily models therefore label longer runs only.
+LONG_RUNS = replace(DEFAULTS, z_severe=1e7, min_duration_h=8)
+
+
+def daily_table(spark: SparkSession, d: str) -> DataFrame:
+    return ML.labelled_days(base(spark, d, LONG_RUNS))
+
+
 def _bundle_rows(spark: SparkSession, bundle: ML.Bundle) -> DataFrame:
     rows = [
         (h, len(bundle.features[h]), type(m.stages[-1]).__name__)
@@ -1169,42 +1200,42 @@ def _bundle_rows(spark: SparkSession, bundle: ML.Bundle) -> DataFrame:
 
 @query("train_hourly_models")
 def train_hourly_models(spark, d):
-    table = ML.labelled_hours(staged_base(spark, d))
+    table = ML.labelled_hours(base(spark, d))
     return _bundle_rows(spark, ML.train_models(table, ML.HOURS))
 
 
 @query("train_daily_models")
 def train_daily_models(spark, d):
-    table = ML.labelled_days(staged_base(spark, d))
+    table = daily_table(spark, d)
     return _bundle_rows(spark, ML.train_models(table, ML.DAYS))
 
 
 @query("backtest_hourly")
 def backtest_hourly(spark, d):
-    return ML.backtest(ML.labelled_hours(staged_base(spark, d)), ML.HOURS)
+    return ML.backtest(ML.labelled_hours(base(spark, d)), ML.HOURS)
 
 
 @query("backtest_daily")
 def backtest_daily(spark, d):
-    return ML.backtest(ML.labelled_days(staged_base(spark, d)), ML.DAYS)
+    return ML.backtest(daily_table(spark, d), ML.DAYS)
 
 
 @query("forecast_hours")
 def forecast_hours(spark, d):
-    table = ML.labelled_hours(staged_base(spark, d))
+    table = ML.labelled_hours(base(spark, d))
     return ML.forecast(table, ML.train_models(table, ML.HOURS))
 
 
 @query("forecast_days")
 def forecast_days(spark, d):
-    table = ML.labelled_days(staged_base(spark, d))
+    table = daily_table(spark, d)
     return ML.forecast(table, ML.train_models(table, ML.DAYS))
 
 
 @query("model_factory")
 def model_factory(spark, d):
     """Every model the factory offers, fitted on the daily table."""
-    table = ML.labelled_days(staged_base(spark, d))
+    table = daily_table(spark, d)
     fitted = [
         _bundle_rows(
             spark, ML.train_models(table, ML.DAYS, replace(DEFAULTS, model_name=name))
@@ -1229,15 +1260,17 @@ def stream_hourly_readings(spark, d):
 @query("stream_detect_hours", f"SELECT {DECISION_SQL} FROM dec")
 def stream_detect_hours(spark, d):
     arriving = scratch_path(spark, "arriving")
-    sinks.write_table(processed(spark, d), arriving)
-    fitted = stage_table(baseline(spark, d), "baseline")
-    return decision_columns(SD.score_stream(spark, arriving, fitted))
+    hours = grid(spark, d)
+    sinks.write_table(core(processed_parts(hours), runs.RUN_LAYOUT), arriving)
+    return decision_columns(
+        SD.score_stream(spark, arriving, stage_table(fitted(hours), "baseline"))
+    )
 
 
 @query("stream_incidents", O.incident_sql("isl_full"))
 def stream_incidents(spark, d):
     arriving = scratch_path(spark, "decisions")
-    scored = D.detect_hours(processed(spark, d), baseline(spark, d))
+    scored = decided(spark, d).select(*D.DECISION_COLUMNS)
     # Three deliveries in time order, ten days each.
     period = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
     staged = stage_table(scored.withColumn("_period", period), "scored")

@@ -38,7 +38,9 @@ def processed_parts(
     numbers = G.recirculation_proxy(
         G.harmonize_units(grid_parts, params), enabled=recirculation, gvs_present=gvs_present
     )
-    return Q.balance_and_flags(G.weekday_normalize(numbers), params, layout)
+    if "weekday_norm" not in numbers.columns:
+        numbers = G.weekday_normalize(numbers)
+    return Q.balance_and_flags(numbers, params, layout)
 
 
 def processed_hours(
