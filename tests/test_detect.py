@@ -12,6 +12,7 @@ from tidemark.operators import baseline as B
 from tidemark.operators import detect as D
 from tidemark.operators import quality as Q
 from tidemark.params import CAUSE_PRIOR, DEFAULTS
+from tidemark.plans.staging import stage
 
 WEEKS = 24 * 7 * 3
 
@@ -74,7 +75,8 @@ def scored(hourly, flows, params=DEFAULTS):
         "2024-01-01 00:00:00", xvs_m3=as_list(xvs), gvs_m3=as_list(gvs),
         supply_m3=[0.0] * WEEKS, return_m3=[0.0] * WEEKS, t1=[9.0] * WEEKS, t2=[1.0] * WEEKS,
     ))
-    return D.detect_hours(hours, B.fit_baseline(hours), params)
+    # Decisions are a stored table before anything filters on them, as in a detection run.
+    return stage(D.detect_hours(hours, B.fit_baseline(hours), params))
 
 
 def test_probabilities_sum_to_one(hourly, flows):
