@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, mixing, packing, tokens
+from tidemark.llm import lines, mixing, packing, simhash, tokens
 from tidemark.llm.oracle import SQL
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import scratch_path
@@ -59,9 +59,18 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
-        f.__name__: f for f in (op1_pack, op2_token_files, op7_line_dedup, op9_mix)
+        f.__name__: f for f in (op1_pack, op2_token_files, op7_line_dedup, op9_mix, op10_simhash)
     }
 
 
