@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, mixing, packing, simhash, tokens
+from tidemark.llm import language, lines, mixing, packing, simhash, tokens
 from tidemark.llm.oracle import SQL
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import scratch_path
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -53,6 +59,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language.identify(docs, vocabulary_path()).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -70,7 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        f.__name__: f for f in (op1_pack, op2_token_files, op7_line_dedup, op9_mix, op10_simhash)
+        f.__name__: f for f in (op1_pack, op2_token_files, op7_line_dedup, op8_language, op9_mix, op10_simhash)
     }
 
 
