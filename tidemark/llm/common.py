@@ -91,6 +91,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def id_ranges(df: DataFrame, column: str, n: int) -> list[int]:
+    """At most ``n - 1`` ascending ids that cut the rows with an id into about equal ranges."""
+    accuracy = max(10_000, 20 * n)
+    quantiles = df.agg(
+        F.percentile_approx(quoted(column), [i / n for i in range(1, n)] or [0.5], accuracy)
+    ).first()[0]
+    return sorted(set(quantiles or []))[: n - 1] if n > 1 else []
+
+
+def range_of(column: str, cuts: list[int]) -> Column:
+    """Index of the range of an id; an id equal to a cut belongs above it, null to the last."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+    below = F.when(
+        quoted(column).isNotNull(),
+        F.size(F.filter(edges, lambda e: e <= quoted(column))),
+    )
+    return F.coalesce(below, F.lit(len(cuts)))
+
+
 class Memo(dict):
     """A cache of two generations: when the young one is full it becomes the old one."""
 

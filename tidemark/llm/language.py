@@ -47,16 +47,11 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
-        powers = np.empty(WORD_CHARS + 2, U64)
-        powers[0] = 1
-        for i in range(1, len(powers)):
-            powers[i] = powers[i - 1] * BASE
-        self.powers = powers
+        self.powers = np.cumprod(np.append(U64(1), np.full(WORD_CHARS + 1, BASE)))
         h = np.zeros(len(pieces), U64)
-        for i, p in enumerate(pieces):
-            for c in p:
-                h[i] = h[i] * BASE + U64(ord(c) + 1)
-        # Buckets by the first bits of the hash make a lookup a few steps.
+        for k in range(self.longest):
+            here = np.array([ord(p[k]) + 1 if k < len(p) else 0 for p in pieces], U64)
+            h = np.where(here > 0, h * BASE + here, h)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, partitions, quoted, slices
+from tidemark.llm.common import as_bytes, id_ranges, partitions, quoted, range_of, slices
 from tidemark.llm.encoding import END, encoder
 
 MAGIC = b"TIDEIDS1"
@@ -46,28 +46,6 @@ SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 64 << 10
 
 
-def id_ranges(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most ``n - 1`` ascending ids that cut the rows with an id into about equal ranges."""
-    accuracy = max(10_000, 20 * n)
-    quantiles = df.agg(
-        F.percentile_approx(quoted(column), [i / n for i in range(1, n)] or [0.5], accuracy)
-    ).first()[0]
-    return sorted(set(quantiles or []))[: n - 1] if n > 1 else []
-
-
-def range_of(column: str, cuts: list[int]):
-    """Index of the range of an id; an id equal to a cut belongs above it, null to the last."""
-    if not cuts:
-        return F.lit(0)
-    edges = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    # width_bucket counts the edges at or below the value.
-    below = F.when(
-        quoted(column).isNotNull(),
-        F.size(F.filter(edges, lambda e: e <= quoted(column))),
-    )
-    return F.coalesce(below, F.lit(len(cuts)))
-
-
 def _serialized(ids: bytes) -> tuple[bytes, int]:
     x = np.frombuffer(ids, "<u4")
     if len(x) and x.max() > 0xFFFF:
