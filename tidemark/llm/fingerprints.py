@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text is cut at line feeds and, by a rule on the bytes before them, at about every fourth
-space, so that a long line is several paragraphs and a cut depends on nothing further away. Each
+A text is cut at line feeds and, by a rule on the bytes before them, at every second
+space or so, so that a long line is several paragraphs and a cut depends on nothing further away. Each
 paragraph's digest is added to three cells of a sketch. Subtracting two sketches leaves the
 digests that differ, and peeling cells of one digest recovers them; where that fails, larger
 sketches of the two texts are built.
@@ -38,7 +38,7 @@ def paragraph_digests(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8)
     stops = np.flatnonzero((b == 32) | (b == 10))
     prior = b[np.maximum(stops[:, None] - np.array([1, 2, 3]), 0)].astype(np.uint32)
-    rule = (prior @ np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)) >> np.uint32(30)
+    rule = (prior @ np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)) >> np.uint32(31)
     ends = stops[(rule == 0) | (b[stops] == 10)] + 1
     digest = xxhash.xxh3_64_intdigest
     edges = [0, *ends.tolist(), len(text)]
@@ -110,7 +110,7 @@ def serialized(keys: np.ndarray) -> str:
 
 
 def likeness(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Shared part of all paragraphs of two texts (0 to 1), from their sketches' differences."""
+    """Share of the paragraphs of two texts that both have (0 to 1), from what sketches recover."""
     sizes = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
     differ = np.zeros(len(pairs), np.int64)
     least = np.abs(sizes[:, 0] - sizes[:, 1])
@@ -134,7 +134,7 @@ def likeness(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         todo = np.concatenate(failed)
         size *= GROWTH
     total = sizes.sum(1)
-    return np.where(total + differ > 0, (total - differ) / np.maximum(total + differ, 1), 1.0)
+    return np.where(total > 0, (total - differ) / np.maximum(total, 1), 1.0)
 
 
 def edited(text: str, other: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, lines, mixing, packing, simhash, tokens, topk
+from tidemark.llm import fingerprints, language, lines, mixing, packing, recompression, simhash, tokens, topk
 from tidemark.llm.oracle import SQL
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import scratch_path
@@ -52,6 +52,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return recompression.drop_repeated_passages(docs).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -94,7 +101,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        f.__name__: f for f in (op1_pack, op2_token_files, op4_top_k, op5_fingerprints, op7_line_dedup, op8_language, op9_mix, op10_simhash)
+        f.__name__: f for f in (op1_pack, op2_token_files, op3_passages, op4_top_k, op5_fingerprints, op7_line_dedup, op8_language, op9_mix, op10_simhash)
     }
 
 
