@@ -1,8 +1,80 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread as the next one's docs."""
+"""The corpus pipeline: from ``documents`` to packed training sequences.
 
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
+and reread as the next stage's ``docs``. All stages but the last return the columns of
+``documents``; they handle nulls, repeated rows and empty tables as the operators they call.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, lines, mixing, packing, simhash
+from tidemark.llm.queries import documents, tokenizer_path, vocabulary_path
+from tidemark.llm.shipping import ship
+from tidemark.plans.staging import stage_table
+
+#: SimHash has no SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now, if the table has that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of undetermined language (``und``); fills in a missing ``lang``."""
+    ship(spark)
+    found = language.identify(docs, vocabulary_path()).where(F.col("lang_pred") != language.UND)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that many documents share; every document stays."""
+    ship(spark)
+    return _with_length(lines.drop_repeated_lines(docs)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    ship(spark)
+    return simhash.one_of_each(docs, words=3, distance=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, leaves out and cuts documents so that each source meets its target."""
+    ship(spark)
+    mixed = mixing.mixed_documents(mixing.mix(docs))
+    return _with_length(mixed).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 2048 tokens."""
+    ship(spark)
+    pieces = packing.pack_documents(docs, tokenizer_path())
+    return pieces.select(
+        F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "ids",
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
