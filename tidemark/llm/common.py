@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -67,14 +68,18 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
 
 
 def map_texts(
-    df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame,
+    text: str,
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str | StructType,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``fn`` to record batches with a bounded number of text bytes."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, limit):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, lines, mixing, packing, recompression, simhash, tokens, topk
+from tidemark.llm import fingerprints, language, lines, mixing, packing, recompression, simhash, suffixes, tokens, topk
 from tidemark.llm.oracle import SQL
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import scratch_path
@@ -70,6 +70,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffixes.drop_earlier_passages(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return lines.drop_repeated_lines(docs).select(
@@ -101,7 +108,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        f.__name__: f for f in (op1_pack, op2_token_files, op3_passages, op4_top_k, op5_fingerprints, op7_line_dedup, op8_language, op9_mix, op10_simhash)
+        f.__name__: f for f in (op1_pack, op2_token_files, op3_passages, op4_top_k, op5_fingerprints, op6_suffixes, op7_line_dedup, op8_language, op9_mix, op10_simhash)
     }
 
 
