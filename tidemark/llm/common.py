@@ -5,7 +5,9 @@ Words are runs of bytes other than space and 0x09-0x0D; ``bytes.split()`` splits
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,22 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def any_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator see plain names only; columns with other names get theirs back."""
+
+    @wraps(operator)
+    def call(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = {f"_odd{i}_": c for i, c in enumerate(docs.columns) if not re.fullmatch(r"\w+", c)}
+        if not odd:
+            return operator(docs, *args, **kwargs)
+        plain = {c: name for name, c in odd.items()}
+        kwargs = {k: plain.get(v, v) if isinstance(v, str) else v for k, v in kwargs.items()}
+        out = operator(docs.toDF(*[plain.get(c, c) for c in docs.columns]), *args, **kwargs)
+        return out.toDF(*[odd.get(c, c) for c in out.columns])
+
+    return call
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

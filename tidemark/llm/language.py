@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Memo, as_bytes, quoted, slices, without
+from tidemark.llm.common import U64, Memo, any_columns, as_bytes, quoted, slices, without
 
 UND = "und"
 #: Longer words are scored in parts of this length.
@@ -201,6 +201,7 @@ def train(
 
 
 
+@any_columns
 def predict(
     docs: DataFrame,
     model: tuple[list[str], np.ndarray],
@@ -276,6 +277,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(crc % folds == fold, F.lit(False))
 
 
+@any_columns
 def identify(
     docs: DataFrame,
     vocabulary: str,

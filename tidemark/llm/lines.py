@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import BLANKS, as_bytes, fresh, map_texts, quoted, without
+from tidemark.llm.common import BLANKS, any_columns, as_bytes, fresh, map_texts, quoted, without
 from tidemark.plans.staging import stage_table
 
 _BLANKS = BLANKS.encode()
@@ -27,6 +27,7 @@ def _hashes(text: bytes, min_chars: int) -> tuple[list[bytes], list[bytes | None
     return lines, keys
 
 
+@any_columns
 def drop_repeated_lines(
     docs: DataFrame,
     min_chars: int = 20,

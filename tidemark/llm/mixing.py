@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import BLANKS, WORD_PATTERN, fresh, quoted, without
+from tidemark.llm.common import BLANKS, WORD_PATTERN, any_columns, fresh, quoted, without
 from tidemark.plans.staging import stage_table
 
 ADDED = ("size", "source_size", "target", "taken")
@@ -73,6 +73,7 @@ def source_targets(
     return ranked.withColumn("target", target)
 
 
+@any_columns
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -162,6 +163,7 @@ def first_words(text: pd.Series, count: pd.Series) -> pd.Series:
     return pd.Series([cut(x, n) for x, n in zip(text, count, strict=True)], dtype=object)
 
 
+@any_columns
 def mixed_documents(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of :func:`mix` as documents: one for each epoch, the last of them cut to its words.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from tidemark.llm.common import (
-    U64, Memo, as_bytes, fresh, map_texts, mixed, quoted, without,
+    U64, Memo, any_columns, as_bytes, fresh, map_texts, mixed, quoted, without,
 )
 from tidemark.plans.staging import stage_table
 
@@ -394,6 +394,7 @@ def covered(starts: np.ndarray, counts: np.ndarray, window: int, length: int) ->
     return np.cumsum(step[:-1]) > 0
 
 
+@any_columns
 def drop_repeated_passages(
     docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, as_bytes, fresh, map_texts, mixed, partitions, quoted
+from tidemark.llm.common import (
+    U64, any_columns, as_bytes, fresh, map_texts, mixed, partitions, quoted,
+)
 from tidemark.llm.graph import connected_components
 from tidemark.plans.staging import stage_table
 
@@ -405,6 +407,7 @@ def _probe_cells(
 # ---------------------------------------------------------------------------------- operator
 
 
+@any_columns
 def near_duplicates(
     docs: DataFrame,
     words: int = 3,
@@ -445,6 +448,7 @@ def near_duplicates(
     return rows.join(named, "fp").select("id", "tie", "fp", "component_id", same.alias("keep"))
 
 
+@any_columns
 def one_of_each(
     docs: DataFrame,
     words: int = 3,
