@@ -80,7 +80,7 @@ class Packer:
             yield self._piece(item, n, 0)
             self.sequence += 1
         if item.start < len(ids):
-            if not self.free:
+            while not self.free:
                 yield from self._close(self._fill())
             self._put(item)
 
