@@ -7,6 +7,9 @@ and reread as the next stage's ``docs``. All stages but the last return the colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,27 @@ from tidemark.llm.queries import documents, tokenizer_path, vocabulary_path
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import stage_table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: SimHash has no SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def same_columns(stage: Stage) -> Stage:
+    """Set other columns aside, so that none clashes with an operator's, and return them all."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        names = [c if c in OWN else f"_own{i}_" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return call
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     """``n_chars`` of the text as it is now, if the table has that column."""
     if "n_chars" not in docs.columns:
@@ -27,30 +47,30 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(kind))
 
 
+@same_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of undetermined language (``und``); fills in a missing ``lang``."""
-    ship(spark)
     found = language.identify(docs, vocabulary_path()).where(F.col("lang_pred") != language.UND)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
 
+@same_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share; every document stays."""
-    ship(spark)
-    return _with_length(lines.drop_repeated_lines(docs)).select(*docs.columns)
+    return _with_length(lines.drop_repeated_lines(docs))
 
 
+@same_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest id."""
-    ship(spark)
     return simhash.one_of_each(docs, words=3, distance=3)
 
 
+@same_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, leaves out and cuts documents so that each source meets its target."""
-    ship(spark)
     mixed = mixing.mixed_documents(mixing.mix(docs))
-    return _with_length(mixed).select(*docs.columns)
+    return _with_length(mixed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
