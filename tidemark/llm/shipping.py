@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
-import tidemark
+from pyarrow.fs import FileSystem
 from pyspark.sql import SparkSession
 
+import tidemark
+from tidemark.plans.staging import scratch_path
+
 _shipped: set[str] = set()
 
 
@@ -18,12 +21,17 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(tidemark.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark-source.zip")
-    with zipfile.ZipFile(path, "w") as out:
+    source = io.BytesIO()
+    with zipfile.ZipFile(source, "w") as out:
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
                     file = os.path.join(folder, name)
                     out.write(file, os.path.relpath(file, os.path.dirname(root)))
+    path = f"{scratch_path(spark, 'tidemark-source')}.zip"
+    store, place = FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(place), recursive=True)
+    with store.open_output_stream(place) as f:
+        f.write(source.getvalue())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
