@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -125,15 +126,19 @@ def id_ranges(df: DataFrame, column: str, n: int) -> list[int]:
 
 
 def range_of(column: str, cuts: list[int]) -> Column:
-    """Index of the range of an id; an id equal to a cut belongs above it, null to the last."""
+    """Index of the range of an id; an id equal to a cut belongs above it, null to the last.
+
+    Binary search outside the plan: an expression would hold all cuts and look at each.
+    """
     if not cuts:
         return F.lit(0)
-    edges = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    below = F.when(
-        quoted(column).isNotNull(),
-        F.size(F.filter(edges, lambda e: e <= quoted(column))),
-    )
-    return F.coalesce(below, F.lit(len(cuts)))
+    edges = np.array(cuts, np.int64)
+
+    def search(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right"))
+
+    index = F.pandas_udf(search, IntegerType())(F.coalesce(quoted(column), F.lit(0)).cast("bigint"))
+    return F.when(quoted(column).isNull(), len(cuts)).otherwise(index)
 
 
 def release(spark: SparkSession) -> None:
