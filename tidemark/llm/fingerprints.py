@@ -82,11 +82,11 @@ class Sketches:
     def peel(self, documents: int) -> tuple[np.ndarray, np.ndarray]:
         """How many keys each difference holds, and whether all of them were recovered."""
         found = np.zeros(documents, np.int64)
-        look = np.flatnonzero(np.abs(self.count) == 1)
-        while len(look):
+        while True:
+            look = np.flatnonzero(np.abs(self.count) == 1)
             sign = self.count[look]
             keys = self.keys[look] * sign.astype(U64)
-            pure = (np.abs(sign) == 1) & (mixed(keys ^ CHECK) * sign.astype(U64) == self.checks[look])
+            pure = mixed(keys ^ CHECK) * sign.astype(U64) == self.checks[look]
             at, sign, keys = look[pure], sign[pure], keys[pure]
             if not len(at):
                 break
@@ -95,7 +95,6 @@ class Sketches:
             document, sign, keys = document[first], sign[first], keys[first]
             self.add(document, keys, -sign)
             found += np.bincount(document, minlength=documents)
-            look = np.unique(_cells(keys, self.size) + document * self.size)
         left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
         return found, ~left.reshape(documents, self.size).any(1)
 
