@@ -22,7 +22,7 @@ Windows that certify no name (periodic ones) are rows of their own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from tidemark.llm.common import (
-    U64, Memo, any_columns, as_bytes, fresh, map_texts, mixed, quoted, without,
+    U64, any_columns, as_bytes, fresh, map_texts, mixed, quoted, without,
 )
 from tidemark.plans.staging import stage_table
 
@@ -44,7 +44,6 @@ ROUNDS = 4
 RUN_ROUNDS = (0, 2)
 #: Names of fewer tokens are anchors only where there is no longer one.
 SELECTIVE = 3
-CACHED_WORDS = 250_000
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 ROUND_SEEDS = np.arange(1, ROUNDS + 1, dtype=U64) * BASES[1]
@@ -81,16 +80,18 @@ class Parse:
         """``first`` and ``last`` are the bounds of the document that each token belongs to."""
         n = len(tokens)
         self.name = tokens
-        self.start, self.end = np.arange(n), np.arange(1, n + 1)
+        self.start = np.arange(n, dtype=np.int32)
+        self.end = self.start + np.int32(1)
         self.lo, self.hi = self.start.copy(), self.end.copy()
         self.loose = np.zeros(n, bool)  # fixed by more than a bounded span
-        self.first, self.last = first, last
+        self.first, self.last = first.astype(np.int32), last.astype(np.int32)
         for r in range(ROUNDS):
             if r in RUN_ROUNDS:
                 self._runs()
             self._pairs(r)
 
-    def _keep(self, head: np.ndarray, name: np.ndarray, end: np.ndarray, lo, hi, loose) -> None:
+    def _keep(self, heads: np.ndarray, name: np.ndarray, end: np.ndarray, lo, hi, loose) -> None:
+        head = np.flatnonzero(heads)
         self.name, self.end, self.lo, self.hi = name[head], end[head], lo[head], hi[head]
         self.loose = loose[head]
         self.start, self.first, self.last = self.start[head], self.first[head], self.last[head]
@@ -102,8 +103,8 @@ class Parse:
     def _outer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Spans widened by the neighbour on each side; beyond a document's end no window goes."""
         before, after = self._neighbours()
-        lo = np.where(before, np.append(0, self.lo[:-1]), self.first - 1)
-        hi = np.where(after, np.append(self.hi[1:], 0), self.last + 1)
+        lo = np.where(before, np.append(self.lo[:1], self.lo[:-1]), self.first - 1)
+        hi = np.where(after, np.append(self.hi[1:], self.hi[-1:]), self.last + 1)
         left = before & np.append(False, self.loose[:-1])
         right = after & np.append(self.loose[1:], False)
         return lo, hi, left, right
@@ -152,12 +153,12 @@ class Parse:
         second = np.append(False, merge[:-1])
         lo, hi, left, right = self._outer()
         # A left name alone depends on the name after it, a right name on the one before.
-        new_hi = np.where(merge, np.append(self.hi[1:], 0), np.where(right_side, self.hi, hi))
+        new_hi = np.where(merge, np.append(self.hi[1:], self.hi[-1:]), np.where(right_side, self.hi, hi))
         new_lo = np.where(right_side, lo, self.lo)
         loose = self.loose | np.where(merge | ~right_side, right, left)
         following = np.append(self.name[1:], U64(0))
         name = np.where(merge, _pair_names(self.name, following), self.name)
-        end = np.where(merge, np.append(self.end[1:], 0), self.end)
+        end = np.where(merge, np.append(self.end[1:], self.end[-1:]), self.end)
         self._keep(~second, name, end, new_lo, new_hi, loose)
 
 
@@ -200,8 +201,10 @@ def anchors(tokens: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.nd
     count = np.maximum(lengths - window + 1, 0)
     document = np.repeat(np.arange(len(lengths)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begins[document]
-    lo = np.searchsorted(parse.lo, at, side="left")
-    hi = np.searchsorted(parse.hi, at + window, side="right")
+    # Both bounds of the spans are in order, so counts take the place of searches.
+    size = len(tokens) + 3
+    lo = np.cumsum(np.bincount(parse.lo + 1, minlength=size))[at]
+    hi = np.cumsum(np.bincount(parse.hi, minlength=size))[at + window]
     anchor = least_in_ranges(keys, lo, hi)
     head = np.ones(len(at), bool)
     head[1:] = (anchor[1:] != anchor[:-1]) | (anchor[1:] < 0) | (document[1:] != document[:-1])
@@ -221,20 +224,11 @@ def anchors(tokens: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.nd
 # -------------------------------------------------------------------------------------- Spark
 
 
-class Words:
-    """64-bit hashes of words, cached by worker."""
-
-    def __init__(self):
-        self.memo = Memo(CACHED_WORDS)
-
-    def tokens(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        words = [(t or b"").split() for t in texts]
-        for w in self.memo.absent(set().union(*words)):
-            self.memo[w] = xxhash.xxh3_64_intdigest(w)
-        get = self.memo.__getitem__
-        lengths = np.array([len(w) for w in words], np.int64)
-        tokens = np.fromiter((get(w) for own in words for w in own), U64, int(lengths.sum()))
-        return words, tokens, lengths
+def tokens_of(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of texts, a 64-bit hash of each, and how many each text has."""
+    words = [(t or b"").split() for t in texts]
+    hashes = b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(words)))
+    return words, np.frombuffer(hashes, U64), np.array([len(w) for w in words], np.int64)
 
 
 def identity(id_col: str, text_col: str) -> list[Column]:
@@ -249,43 +243,26 @@ def identity(id_col: str, text_col: str) -> list[Column]:
 def anchor_rows(docs: DataFrame, window: int, names_only: bool) -> DataFrame:
     """Anchor rows of ``docs (k, t, text)``; or only their names."""
 
-    def make():
-        words = Words()
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            _, tokens, lengths = words.tokens(as_bytes(batch.column(2)))
-            if not (lengths >= window).any():
-                return None
-            document, start, n, name, cover = anchors(tokens, lengths, window)
-            name = pa.array(name.view(np.int64))
-            if names_only:
-                return pa.record_batch([name], names=["name"])
-            rows = pa.array(document)
-            return pa.record_batch(
-                [
-                    name, pa.array(cover.view(np.int64)), batch.column(0).take(rows),
-                    batch.column(1).take(rows), pa.array(start.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                ],
-                names=["name", "cover", "k", "t", "start", "n"],
-            )
-
-        return run
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        _, tokens, lengths = tokens_of(as_bytes(batch.column(2)))
+        if not (lengths >= window).any():
+            return None
+        document, start, n, name, cover = anchors(tokens, lengths, window)
+        name = pa.array(name.view(np.int64))
+        if names_only:
+            return pa.record_batch([name], names=["name"])
+        rows = pa.array(document)
+        return pa.record_batch(
+            [
+                name, pa.array(cover.view(np.int64)), batch.column(0).take(rows),
+                batch.column(1).take(rows), pa.array(start.astype(np.int32)),
+                pa.array(n.astype(np.int32)),
+            ],
+            names=["name", "cover", "k", "t", "start", "n"],
+        )
 
     whole = "name bigint, cover bigint, k bigint, t int, start int, n int"
-    return map_texts(docs, "text", lazily(make), "name bigint" if names_only else whole)
-
-
-def lazily(make):
-    """A function built on its first call, in the worker that calls it."""
-    built = []
-
-    def call(batch: pa.RecordBatch):
-        if not built:
-            built.append(make())
-        return built[0](batch)
-
-    return call
+    return map_texts(docs, "text", run, "name bigint" if names_only else whole)
 
 
 def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -320,36 +297,31 @@ def window_rows(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     )
     joined = packed(docs).join(wanted, ["k", "t"]).select("k", "t", "text", "wanted")
 
-    def make():
-        words = Words()
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            _, tokens, lengths = words.tokens(unpacked(batch.column(2).to_pylist()))
-            begins = np.cumsum(lengths) - lengths
-            lists = batch.column(3)
-            per = np.diff(lists.offsets.to_numpy())
-            each = lists.flatten()
-            n = each.field("n").to_numpy().astype(np.int64)
-            many = each.field("many").to_numpy(zero_copy_only=False)
-            document = np.repeat(np.repeat(np.arange(batch.num_rows), per), n)
-            at = np.repeat(each.field("start").to_numpy().astype(np.int64), n)
-            at += np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            first = at + begins[document]
-            h1, h2 = (Rolling(tokens, b).of(first, first + window) for b in BASES)
-            rows = pa.array(document)
-            return pa.record_batch(
-                [
-                    pa.array(mixed(h1).view(np.int64)), pa.array(mixed(h2).view(np.int64)),
-                    batch.column(0).take(rows), batch.column(1).take(rows),
-                    pa.array(at.astype(np.int32)), pa.array(np.repeat(many, n)),
-                ],
-                names=["h1", "h2", "k", "t", "at", "many"],
-            )
-
-        return run
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, tokens, lengths = tokens_of(unpacked(batch.column(2).to_pylist()))
+        begins = np.cumsum(lengths) - lengths
+        lists = batch.column(3)
+        per = np.diff(lists.offsets.to_numpy())
+        each = lists.flatten()
+        n = each.field("n").to_numpy().astype(np.int64)
+        many = each.field("many").to_numpy(zero_copy_only=False)
+        document = np.repeat(np.repeat(np.arange(batch.num_rows), per), n)
+        at = np.repeat(each.field("start").to_numpy().astype(np.int64), n)
+        at += np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = at + begins[document]
+        h1, h2 = (Rolling(tokens, b).of(first, first + window) for b in BASES)
+        rows = pa.array(document)
+        return pa.record_batch(
+            [
+                pa.array(mixed(h1).view(np.int64)), pa.array(mixed(h2).view(np.int64)),
+                batch.column(0).take(rows), batch.column(1).take(rows),
+                pa.array(at.astype(np.int32)), pa.array(np.repeat(many, n)),
+            ],
+            names=["h1", "h2", "k", "t", "at", "many"],
+        )
 
     return map_texts(
-        joined, "text", lazily(make), "h1 bigint, h2 bigint, k bigint, t int, at int, many boolean"
+        joined, "text", run, "h1 bigint, h2 bigint, k bigint, t int, at int, many boolean"
     )
 
 
