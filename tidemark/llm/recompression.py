@@ -329,7 +329,9 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """``k, t, start, n``: ranges of windows of ``docs (k, t, text)`` that occur more than once."""
     names = anchor_rows(docs, window, names_only=True)
     repeated = names.groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1")
-    # A frequent name is one row on the right and can be split on the left.
+    # A frequent name is one row on the right; as that side is a stored table, Spark can split
+    # the left one.
+    repeated = stage_table(repeated, "repeated-names")
     rows = stage_table(
         anchor_rows(docs, window, names_only=False).join(repeated.select("name"), "name"),
         "anchors",
@@ -342,6 +344,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     )
     whole = rows.join(covers.where("uses > 1").select("name", "cover"), ["name", "cover"])
     several = covers.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stage_table(several, "border-names")
     border = covers.join(several.select("name"), "name").select(
         "one.*", (F.col("uses") > 1).alias("many")
     )
@@ -351,6 +354,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         .agg(F.count("*").alias("uses"), F.max("many").alias("any_many"))
         .where("uses > 1 OR any_many")
     )
+    known = stage_table(known, "repeated-windows")
     single = windows.where("NOT many").join(known.select("h1", "h2"), ["h1", "h2"])
     return (
         whole.select("k", "t", "start", "n")
