@@ -12,8 +12,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links (a, b)``; the root is the smallest node reached.
 
     Each round is two aggregations and joins over the links and is written to the shared folder;
-    the number of rounds grows with the logarithm of the size of the largest component. Links
-    to itself and repeated links do no harm; links with a null end are ignored.
+    the number of rounds grows with the logarithm of the size of the largest component. The
+    smallest neighbours are stored tables too, so that Spark can split the links of a node that
+    has very many. Links to itself and repeated links do no harm; links with a null end are
+    ignored.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     now = stage_table(links.select("a", "b").distinct(), "links")
@@ -22,13 +24,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour is linked to the smallest of the neighbourhood.
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stage_table(least, "least")
         large = (
             both.join(least, "a")
             .where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         # Small star: the node and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage_table(large, "large")
+        least = stage_table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage_table(small.union(least.select("a", F.col("m").alias("b"))).where(
             F.col("a") != F.col("b")

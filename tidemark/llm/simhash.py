@@ -443,7 +443,8 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(
         F.min("least").alias("component_id"), F.min("first").alias("first")
     )
-    named = rooted.select("fp", "root").join(least, "root").drop("root")
+    least = stage_table(least, "components")
+    named = stage_table(rooted.select("fp", "root").join(least, "root").drop("root"), "named")
     same = (F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("tie") == F.col("first.tie"))
     return rows.join(named, "fp").select("id", "tie", "fp", "component_id", same.alias("keep"))
 
