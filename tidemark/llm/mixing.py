@@ -98,13 +98,17 @@ def mix(
     repeated rows are documents of their own. An empty table gives an empty table.
     """
     docs = without(docs, *ADDED)
-    key, rng, rank, before, src, r, g, offset, budget, epochs = fresh(
-        docs, "key", "range", "rank", "before", "src", "r", "g", "offset", "budget", "epochs"
+    key, rng, rank, before, src, r, g, offset, budget, epochs, tie = fresh(
+        docs, "key", "range", "rank", "before", "src", "r", "g", "offset", "budget", "epochs",
+        "tie",
     )
     size = F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD_PATTERN)), F.lit(0))
     identity = F.coalesce(quoted(id_col).cast("string"), F.lit(""))
-    sized = docs.withColumn("size", size.cast("bigint")).withColumn(
-        key, F.md5(F.concat(F.lit(f"{seed}:"), identity).cast("binary"))
+    # The text itself is moved only if the result needs it.
+    sized = (
+        docs.withColumn("size", size.cast("bigint"))
+        .withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), identity).cast("binary")))
+        .withColumn(tie, F.xxhash64(quoted(text_col)))
     )
     sizes = sized.groupBy(quoted(source_col).alias("source")).agg(
         F.sum("size").alias("source_size")
@@ -124,9 +128,7 @@ def mix(
         F.col(rng).alias(g),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(offset),
     )
-    order = W.partitionBy(rank, rng).orderBy(
-        key, quoted(id_col), "size", F.xxhash64(quoted(text_col))
-    )
+    order = W.partitionBy(rank, rng).orderBy(key, quoted(id_col), "size", tie)
     inside = F.coalesce(
         F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
