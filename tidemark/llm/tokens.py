@@ -55,8 +55,12 @@ def _serialized(ids: bytes) -> tuple[bytes, int]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary from a bounded sample of serialized id arrays."""
+    order = F.xxhash64(quoted(id_col))
+    # Ids alone find the sample; only its own texts are moved.
+    least = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     sample = (
-        docs.select(quoted(text_col).alias("text"), F.xxhash64(quoted(id_col)).alias("h"))
+        docs.select(quoted(text_col).alias("text"), order.alias("h"))
+        .where(F.col("h") <= F.lit(least).cast("bigint"))
         .orderBy("h", F.xxhash64("text"))
         .limit(SAMPLE_DOCS)
     )
