@@ -7,6 +7,8 @@ of its words in turn. Words repeat; each is encoded once while it stays in the w
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -14,6 +16,8 @@ from tidemark.llm.common import Memo
 
 CACHED_WORDS = 250_000
 END_ID = 1
+#: Words that go into one call of the tokenizer.
+LOT = 256
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -26,16 +30,56 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # A word in other case can be another word only if it spells a special token.
-        self.special = [
-            t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()
-        ]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        self.special_id = next(iter(added), None)
+        # Without special tokens every word is encoded by itself.
+        self.odd = re.compile(b"|".join(map(re.escape, self.special))).search
         if any(len(s.split()) != 1 for s in self.special):
             raise ValueError("special tokens with white space are not supported")
-        self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == (
-            self.tokenizer.encode("a", add_special_tokens=False).ids
-        )
+        self.folds = self._ids("A") == self._ids("a")
+        # A tail of punctuation that is cut off before merging has ids of its own.
+        cutter = self.tokenizer.pre_tokenizer
+        self.tails = {
+            c.encode(): np.array(self._ids(c), "<u4").tobytes()
+            for c in ".,;:!?"
+            if cutter and [x[0][:2] for x in cutter.pre_tokenize_str("ab" + c)] == ["ab", c]
+        }
         self.words = Memo(CACHED_WORDS)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids. Many words go into one call, a special token between them."""
+        plain = [w for w in words if not self.odd(w)]
+        for word in filter(self.odd, words):
+            yield word, np.array(self._ids(word.decode()), "<u4").tobytes()
+        lots = [plain[i : i + LOT] for i in range(0, len(plain), LOT)]
+        mark = self.special[0].decode() if self.special else ""
+        for first in range(0, len(lots), 64):
+            part = lots[first : first + 64]
+            encoded = self.tokenizer.encode_batch_fast(
+                [mark.join(w.decode() for w in lot) for lot in part], add_special_tokens=False
+            )
+            for lot, e in zip(part, encoded, strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.special_id)
+                starts, data = np.append(0, cuts + 1).tolist(), ids.tobytes()
+                ends = np.append(cuts, len(ids)).tolist()
+                for word, a, b in zip(lot, starts, ends, strict=True):
+                    yield word, data[4 * a : 4 * b]
+
+    def _learn(self, words: set[bytes]) -> None:
+        whole, tailed = [], []
+        for w in self.words.absent(words):
+            (tailed if w[-1:] in self.tails and w[-2:-1].isalpha() else whole).append(w)
+        stems = {w[:-1] for w in tailed}
+        for word, ids in self._encoded(list({*whole, *self.words.absent(stems)})):
+            self.words[word] = ids
+        for w in tailed:
+            self.words[w] = self.words[w[:-1]] + self.tails[w[-1:]]
+
     def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
         """Ids of each text, followed by ``end``; a null text has no ids of its own."""
         split = []
@@ -44,14 +88,7 @@ class WordEncoder:
             if self.folds and not any(s[:2] in text for s in self.special):
                 text = text.lower()
             split.append(text.split())
-        absent = self.words.absent(set().union(*split))
-        for first in range(0, len(absent), 4096):
-            part = absent[first : first + 4096]
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in part], add_special_tokens=False
-            )
-            for word, e in zip(part, encoded, strict=True):
-                self.words[word] = np.array(e.ids, "<u4").tobytes()
+        self._learn(set().union(*split))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
