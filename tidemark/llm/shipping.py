@@ -13,10 +13,15 @@ import tidemark
 from tidemark.plans.staging import scratch_path
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Texts are handed to Python workers in batches of at most so many bytes. The JVM and the worker
+#: both hold a batch outside the Java heap, in buffers of up to twice its size.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once for each application."""
+    """Send the package's source to the executors, once for each application, and bound batches."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
