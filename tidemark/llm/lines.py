@@ -73,7 +73,9 @@ def drop_repeated_lines(
         .where(F.col("n") >= min_docs)
         .drop("n")
     )
-    # A key of many documents is one row on the right and can be split on the left.
+    # A key of many documents is one row on the right; as that side is a stored table, Spark can
+    # split the left one.
+    frequent = stage_table(frequent, "frequent-lines")
     drops = (
         keys.join(frequent, ["h1", "h2"])
         .where(F.col("id") != F.col("last"))
