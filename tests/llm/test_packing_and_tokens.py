@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import random_texts
-from tidemark.llm import packing, tokens
+from tidemark.llm import encoding, packing, tokens
 from tidemark.llm.encoding import WordEncoder
 from tidemark.llm.queries import tokenizer_path
 from tidemark.plans.staging import scratch_path
@@ -40,6 +40,17 @@ def test_words_give_the_ids_of_whole_texts(ids):
     assert got == [ids(t)[:-1].tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("limit", [2, 5, 9])
+def test_a_small_cache_keeps_the_words_of_a_lot(ids, monkeypatch, limit):
+    monkeypatch.setattr(encoding, "CACHED_WORDS", limit)
+    own = WordEncoder(tokenizer_path())
+    rng = random.Random(limit)
+    words = [w + tail for w in ("ka", "lora", "misun", "terde", "önvi") for tail in ("", ".", ",")]
+    for _ in range(200):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(3)]
+        assert own.encode([t.encode() for t in texts]) == [ids(t)[:-1].tobytes() for t in texts]
+
+
 def check_pieces(pieces, whole, limits):
     """Every id in one piece; sequences without gaps and within the limits; returns padding."""
     by_key, by_sequence = {}, {}

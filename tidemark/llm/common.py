@@ -151,18 +151,24 @@ def release(spark: SparkSession) -> None:
 
 
 class Memo(dict):
-    """A cache of two generations: when the young one is full it becomes the old one."""
+    """A cache of two generations: when the young one is full it becomes the old one.
+
+    Only :meth:`retire` drops keys, so what look-ups after it have found stays until the next.
+    """
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit = limit
         self.old: dict = {}
 
-    def absent(self, keys: set) -> list:
-        """Keys not held; those of the old generation move to the young one."""
+    def retire(self) -> None:
+        """Make a full young generation the old one; to be called once before a lot."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+    def absent(self, keys: set) -> list:
+        """Keys not held; those of the old generation move to the young one."""
         out = []
         for k in keys.difference(self.keys()):
             v = self.old.get(k)

@@ -71,6 +71,7 @@ class WordEncoder:
                     yield word, data[4 * a : 4 * b]
 
     def _learn(self, words: set[bytes]) -> None:
+        self.words.retire()
         whole, tailed = [], []
         for w in self.words.absent(words):
             (tailed if w[-1:] in self.tails and w[-2:-1].isalpha() else whole).append(w)

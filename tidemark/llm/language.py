@@ -247,6 +247,7 @@ def _scored(
     texts: list[bytes | None], vocabulary: Pieces, probability: np.ndarray, memo: Memo, n: int
 ) -> tuple[np.ndarray, np.ndarray]:
     words = [(t or b"").lower().split() for t in texts]
+    memo.retire()
     absent = memo.absent(set().union(*words))
     parts = {w: letters(w) for w in absent}
     known: dict[str, bytes] = {}
