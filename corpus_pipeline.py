@@ -49,9 +49,12 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 @same_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of undetermined language (``und``); fills in a missing ``lang``."""
-    found = language.identify(docs, vocabulary_path()).where(F.col("lang_pred") != language.UND)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    """Rejects null texts and texts without letters; fills in a missing ``lang``.
+
+    Where no language could be learned, a missing ``lang`` stays null.
+    """
+    found = language.identify(docs, vocabulary_path()).where("has_letters")
+    return found.withColumn("lang", F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred"))))
 
 
 @same_columns

@@ -99,6 +99,16 @@ def test_stages(spark, tmp_path, tokenizer):
     assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
 
 
+@pytest.mark.parametrize("labelled", ["false", "crc32(CAST(CAST(doc_id AS string) AS binary)) % 4 = 2"])
+def test_language_stage_keeps_documents_without_labels(spark, documents, rows, labelled):
+    rows = [*rows, (1001, "12 -- 34", "en", "a", 8)]
+    docs = documents(rows).selectExpr("doc_id", "text", f"IF({labelled}, lang, NULL) AS lang", "source", "n_chars")
+    want = [tuple(r) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    got = LANGUAGE(spark, docs, SF)
+    assert len(want) > 60 and got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_run(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     rows = [tuple(r) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]

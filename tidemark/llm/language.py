@@ -208,13 +208,14 @@ def predict(
     pieces: list[str],
     text_col: str = "text",
 ) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the probability of that language given the whole text.
+    """Add ``lang_pred``, ``score``, the probability of that language given the whole text, and
+    ``has_letters``, which tells texts without any letter from those without a learned language.
 
     All languages have the same prior; ties go to the first by code point. Texts that are null or
     have no letter, and all texts if no language was learned, get ``und`` and score 0. Input
-    columns of the two names are replaced; an empty table gives an empty table.
+    columns of the three names are replaced; an empty table gives an empty table.
     """
-    docs = without(docs, "lang_pred", "score")
+    docs = without(docs, "lang_pred", "score", "has_letters")
     langs = model[0]
     names = docs.columns
     text_at = names.index(text_col)
@@ -225,7 +226,7 @@ def predict(
         memo = Memo(CACHED_WORDS)
         for batch in batches:
             for part in slices(batch, text_at):
-                best, score = _scored(
+                best, score, lettered = _scored(
                     as_bytes(part.column(text_at)), vocabulary, shared.value, memo, len(langs)
                 )
                 yield pa.record_batch(
@@ -233,19 +234,20 @@ def predict(
                         *part.columns,
                         pa.array([UND if b < 0 else langs[b] for b in best], pa.string()),
                         pa.array(score),
+                        pa.array(lettered),
                     ],
-                    names=[*names, "lang_pred", "score"],
+                    names=[*names, "lang_pred", "score", "has_letters"],
                 )
 
     schema = ", ".join(
         f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema
     )
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
 
 
 def _scored(
     texts: list[bytes | None], vocabulary: Pieces, probability: np.ndarray, memo: Memo, n: int
-) -> tuple[np.ndarray, np.ndarray]:
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = [(t or b"").lower().split() for t in texts]
     memo.retire()
     absent = memo.absent(set().union(*words))
@@ -262,14 +264,16 @@ def _scored(
         memo[w] = row.tobytes()
     best = np.full(len(texts), -1, np.int64)
     score = np.zeros(len(texts))
+    lettered = np.zeros(len(texts), bool)
     get = memo.__getitem__
     for i, own in enumerate(words):
         total = np.frombuffer(b"".join(map(get, own))).reshape(-1, len(nothing)).sum(0)
-        if n and total[-1] > 0:
+        lettered[i] = total[-1] > 0
+        if n and lettered[i]:
             logs = total[:n]
             best[i] = int(np.argmax(logs))
             score[i] = 1.0 / np.exp(logs - logs.max()).sum()
-    return best, score
+    return best, score, lettered
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -288,10 +292,10 @@ def identify(
 ) -> DataFrame:
     """Learn from the rows of ``docs`` outside the held-out fold and predict all rows.
 
-    Adds ``held_out``, ``lang_pred`` and ``score``; ``vocabulary`` is a sentencepiece model file.
+    Adds ``held_out``, ``lang_pred``, ``score`` and ``has_letters``; ``vocabulary`` is a sentencepiece model file.
     Language, source and id are not inputs of a prediction. See :func:`predict` for null texts.
     """
-    docs = without(docs, "held_out", "lang_pred", "score")
+    docs = without(docs, "held_out", "lang_pred", "score", "has_letters")
     pieces = vocabulary_pieces(vocabulary)
     learned = train(docs.where(~held_out(id_col)), pieces, text_col, lang_col)
     return predict(docs.withColumn("held_out", held_out(id_col)), learned, pieces, text_col)
