@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -142,6 +143,51 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(counts[:, i], want)
 
 
+def summed(word, pieces, p):
+    """Sums over all segmentations up to and from each position, in decimals."""
+    at = {x: i for i, x in enumerate(pieces)}
+    n, most = len(word), max(map(len, pieces))
+    edges = [
+        (i, i + m, at.get(word[i : i + m], len(pieces)))
+        for i in range(n) for m in range(1, min(most, n - i) + 1)
+        if m == 1 or word[i : i + m] in at
+    ]
+    up, down = ([Decimal(0)] * (n + 1) for _ in "ab")
+    up[0] = down[n] = Decimal(1)
+    for i, j, x in edges:
+        up[j] += up[i] * p[x]
+    for i, j, x in reversed(edges):
+        down[i] += down[j] * p[x]
+    counts = [Decimal(0)] * (len(pieces) + 1)
+    for i, j, x in edges:
+        counts[x] += up[i] * p[x] * down[j] / up[n]
+    return up[n], [float(x) for x in counts]
+
+
+def test_long_words_and_long_pieces_are_summed_whole():
+    rng = random.Random(3)
+    pieces = ["a", "ab", "b", "ba", "abab" * 3, "bab" * 5, "é"]
+    words = ["".join(rng.choices("abababé", k=n)) for n in (24, 25, 60, 255, 256, 257, 1500)]
+    words += ["ab" * n for n in (20, 128, 400)] + ["abx" * 90]
+    table = language.Pieces(pieces)
+    p = np.array([[rng.uniform(1e-9, 0.1) for _ in range(2)] for _ in range(8)])
+    got = table.log_likelihood(words, p)
+    counts = table.expected_counts(words, np.eye(len(words)))
+    for i, word in enumerate(words):
+        for c in range(2):
+            want, _ = summed(word, pieces, [Decimal(x) for x in p[:, c].tolist()])
+            assert math.isclose(got[i, c], float(want.ln()), rel_tol=1e-9)
+        assert np.allclose(counts[:, i], summed(word, pieces, [Decimal(1) / 8] * 8)[1])
+
+
+def test_letters_keep_marks_and_pieces_their_length():
+    assert language.letters("Ǖx́-नि".encode()) == "ǖx́नि"
+    assert language.letters("\u0301.1".encode()) == ""
+    assert language.letters(("ab" * 40).encode()) == "ab" * 40
+    pieces = language.vocabulary_pieces(vocabulary_path())
+    assert max(map(len, pieces)) > 10 and sum(not x.isalpha() for x in pieces) > 100
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify(docs, vocabulary_path()).collect()

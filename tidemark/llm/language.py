@@ -5,13 +5,15 @@ a word is the sum over all its segmentations into pieces of the product of their
 which a forward pass computes; a text's is the product over its words. Piece probabilities are
 learned from the expected counts of a forward-backward pass in which all pieces weigh the same.
 
-All passes run over many distinct words at once, position by position.
+All passes run over many distinct words at once, position by position. Long words go in parts;
+the state at the end of a part is carried to the next, so no segmentation is left out.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, Memo, any_columns, as_bytes, quoted, slices, without
 
 UND = "und"
-#: Longer words are scored in parts of this length.
+#: Longer words are scored in parts of ``PART`` letters and rescaled every ``RESCALE`` letters.
 WORD_CHARS = 24
-PIECE_CHARS = 10
+PART = 256
+RESCALE = 16
+#: Letters that go through a pass together; a single longer word goes alone.
+LOT_CHARS = 480_000
 SMOOTHING = 0.5
 #: Expected counts are summed as integers of this fraction, so that reruns agree.
 FRACTION = 1 << 16
@@ -33,12 +38,20 @@ BASE = U64(0x9E3779B97F4A7C15)
 
 
 def vocabulary_pieces(path: str) -> list[str]:
-    """Pieces of letters of a sentencepiece model, in lower case; a leading mark is dropped."""
+    """Pieces of letters and marks of a sentencepiece model, in lower case, without ``▁``."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(len(model))}
-    return sorted(p for p in found if p.isalpha() and len(p) <= PIECE_CHARS)
+    return sorted(p for p in found if p and all(c.isalpha() or category(c)[0] == "M" for c in p))
+
+
+def only_letters(text: str) -> str:
+    """Letters and combining marks of a text; nothing if there is no letter among them."""
+    if text.isalpha():
+        return text
+    found = "".join(c for c in text if c.isalpha() or category(c)[0] == "M")
+    return found if any(map(str.isalpha, found)) else ""
 
 
 class Pieces:
@@ -47,7 +60,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
-        self.powers = np.cumprod(np.append(U64(1), np.full(WORD_CHARS + 1, BASE)))
+        self.powers = np.cumprod(np.append(U64(1), np.full(self.longest + 1, BASE)))
         h = np.zeros(len(pieces), U64)
         for k in range(self.longest):
             here = np.array([ord(p[k]) + 1 if k < len(p) else 0 for p in pieces], U64)
@@ -87,6 +100,8 @@ class Pieces:
 
     def log_likelihood(self, words: list[str], probability: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations: words x languages."""
+        if max(map(len, words)) > WORD_CHARS:
+            return self._long_likelihood(words, probability)
         lengths, ids = self.lattice(words)
         table = np.vstack([probability, np.zeros((1, probability.shape[1]))])  # id -1
         alpha = np.zeros((ids.shape[1], len(words), probability.shape[1]))
@@ -98,6 +113,8 @@ class Pieces:
 
     def expected_counts(self, words: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, summed over words with weights: pieces x columns."""
+        if max(map(len, words)) > WORD_CHARS:
+            return self._long_counts(words, weight)
         lengths, ids = self.lattice(words)
         p = 1.0 / self.size
         wide, n_words = ids.shape[1] - 1, len(words)
@@ -124,18 +141,108 @@ class Pieces:
                         out[:, c] += np.bincount(piece, share * weight[k, c], self.size)
         return out
 
+    def _parts(
+        self, words: list[str], backward: bool = False
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``a, rows, ids`` for each part: ``ids[w, j]`` are pieces of ``rows[w]`` ending at a + j."""
+        lengths = np.array([len(w) for w in words])
+        firsts = range(0, int(lengths.max()), PART)
+        for a in reversed(firsts) if backward else firsts:
+            rows = np.flatnonzero(lengths > a)
+            before = min(a, self.longest - 1)
+            _, ids = self.lattice([words[i][a - before : a + PART] for i in rows])
+            yield a, rows, ids[:, before:]
+
+    def _forward(self, words: list[str], probability: np.ndarray) -> Iterator[tuple]:
+        """``end, rows, state, log scale`` at every end of any word's piece."""
+        table = np.vstack([probability, np.zeros((1, probability.shape[1]))])  # id -1
+        most = self.longest
+        shape = (len(words), probability.shape[1])
+        tail, scale = np.zeros((most, *shape)), np.zeros(shape)
+        tail[-1] = 1
+        for a, rows, ids in self._parts(words):
+            # alpha[most - 1 + j] belongs to position a + j.
+            alpha = np.zeros((most + ids.shape[1] - 1, len(rows), shape[1]))
+            alpha[:most] = tail[:, rows]
+            for j in range(1, ids.shape[1]):
+                now = alpha[most - 1 + j]
+                for n in range(1, ids.shape[2] + 1):
+                    now += alpha[most - 1 + j - n] * table[ids[:, j, n - 1]]
+                yield a + j, rows, now, scale[rows]
+                if j % RESCALE == 0:
+                    recent = alpha[j : most + j]
+                    top = recent.max(0)
+                    top[top == 0] = 1
+                    recent /= top
+                    scale[rows] += np.log(top)
+            tail[:, rows] = alpha[-most:]
+
+    def _long_likelihood(self, words: list[str], probability: np.ndarray) -> np.ndarray:
+        lengths = np.array([len(w) for w in words])
+        out = np.zeros((len(words), probability.shape[1]))
+        for end, rows, state, scale in self._forward(words, probability):
+            done = np.flatnonzero(lengths[rows] == end)
+            if len(done):
+                out[rows[done]] = np.log(state[done]) + scale[done]
+        return out
+
+    def _long_counts(self, words: list[str], weight: np.ndarray) -> np.ndarray:
+        lengths = np.array([len(w) for w in words])
+        p, most = 1.0 / self.size, self.longest
+        logs = np.full((int(lengths.max()) + 1, len(words)), -np.inf)
+        logs[0] = 0
+        with np.errstate(divide="ignore"):
+            for end, rows, state, scale in self._forward(words, np.full((self.size, 1), p)):
+                logs[end, rows] = np.log(state[:, 0]) + scale[:, 0]
+        total = logs[lengths, np.arange(len(words))]
+        out = np.zeros((self.size, weight.shape[1]))
+        head, scale = np.zeros((most, len(words))), np.zeros(len(words))
+        for a, rows, ids in self._parts(words, backward=True):
+            # beta[most - 1 + j] belongs to position a + j; the last ones come from the next part.
+            beta = np.zeros((most + ids.shape[1] - 1, len(rows)))
+            beta[-most:] = head[:, rows]
+            closing = lengths[rows] < a + ids.shape[1]
+            beta[most - 1 + lengths[rows[closing]] - a, np.flatnonzero(closing)] = 1
+            for j in range(ids.shape[1] - 1, 0, -1):
+                if j % RESCALE == 0:
+                    recent = beta[j : most + j]
+                    top = recent.max(0)
+                    top[top == 0] = 1
+                    recent /= top
+                    scale[rows] += np.log(top)
+                now = beta[most - 1 + j]
+                with np.errstate(divide="ignore"):
+                    after = np.log(now) + scale[rows] + np.log(p) - total[rows]
+                for n in range(1, ids.shape[2] + 1):
+                    k = np.flatnonzero(ids[:, j, n - 1] >= 0)
+                    if len(k):
+                        share = np.exp(logs[a + j - n, rows[k]] + after[k])
+                        np.add.at(out, ids[k, j, n - 1], share[:, None] * weight[rows[k]])
+                        beta[most - 1 + j - n, k] += now[k] * p
+            head[:, rows] = beta[:most]
+        return out
+
 
-def letters(word: bytes) -> list[str]:
-    """A word's letters in lower case, in parts of bounded length; none if it has no letter."""
-    text = "".join(filter(str.isalpha, word.decode().lower()))
-    return [text[i : i + WORD_CHARS] for i in range(0, len(text), WORD_CHARS)]
+def letters(word: bytes) -> str:
+    """A word's letters and combining marks in lower case; nothing if it has no letter."""
+    return only_letters(word.decode().lower())
 
 
 def in_lots(items: list, lot: int = 20_000) -> Iterator[list]:
-    """Items by length, so that a lot is a narrow array."""
+    """Items by length, so that a lot is a narrow array; long ones are fewer and by themselves."""
     items = sorted(items, key=len)
-    for first in range(0, len(items), lot):
-        yield items[first : first + lot]
+    first = 0
+    while first < len(items):
+        last = first + 1
+        long = len(items[first]) > WORD_CHARS
+        while (
+            last < min(len(items), first + lot)
+            and (len(items[last]) > WORD_CHARS) == long
+            and (last + 1 - first) * len(items[last]) <= LOT_CHARS
+        ):
+            last += 1
+        yield items[first:last]
+        first = last
 
 
 def train(
@@ -163,7 +270,7 @@ def train(
             parts: dict[str, np.ndarray] = {}
             for i, lang in enumerate(langs):
                 for word, n in counts[lang].items():
-                    for part in letters(word):
+                    if part := letters(word):
                         parts.setdefault(part, np.zeros(len(langs)))[i] += n
             for lot in in_lots(list(parts)):
                 weight = np.array([parts[w] for w in lot])
@@ -253,14 +360,14 @@ def _scored(
     absent = memo.absent(set().union(*words))
     parts = {w: letters(w) for w in absent}
     known: dict[str, bytes] = {}
-    for lot in in_lots(list({p for own in parts.values() for p in own})):
+    for lot in in_lots(list(set(filter(None, parts.values())))):
         rows = vocabulary.log_likelihood(lot, probability)
         known.update(zip(lot, map(bytes, rows), strict=True))
     nothing = np.zeros(probability.shape[1] + 1)
     for w, own in parts.items():
         row = nothing
         if own:
-            row = np.append(sum(np.frombuffer(known[p]) for p in own), 1.0)
+            row = np.append(np.frombuffer(known[own]), 1.0)
         memo[w] = row.tobytes()
     best = np.full(len(texts), -1, np.int64)
     score = np.zeros(len(texts))
