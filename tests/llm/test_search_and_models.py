@@ -106,6 +106,39 @@ def test_fingerprints_odd_rows(odd_documents):
     assert fingerprints.edit_fingerprints(odd_documents.limit(0)).count() == 0
 
 
+def test_paragraphs_need_no_spaces():
+    rng = random.Random(5)
+    for letters in ("abcdefghij", "abcdefg\t", "abcdefg\r", "日本語文字列", "abcd\u3000ef"):
+        text = "".join(rng.choices(letters, k=4000))
+        other = "".join(rng.choices(letters, k=4000))
+        texts = (text.encode(), fingerprints.edited(text, other).encode())
+        own, changed = map(fingerprints.paragraph_digests, texts)
+        assert len(own) > 100 and 0.4 < fingerprints.likeness([(own, changed)])[0] < 0.7
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_fingerprints_of_rows_without_id_come_last(spark, files):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("abcdef ", k=300))) for i in range(40)]
+    rows += [(None, "".join(rng.choices("abcdef ", k=300))) for _ in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashed = df.where("doc_id IS NULL").selectExpr("xxhash64(text) AS h", "text").collect()
+    ordered = [x for _, x in rows[39::-1]] + [r.text for r in sorted(hashed)]
+    spark.conf.set("spark.sql.shuffle.partitions", files)
+    try:
+        got = fingerprints.edit_fingerprints(df)
+        parts = got.where("id IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
+        got = sorted((r.id is None, -(r.id or 0), r.edited_sha256) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    want = [
+        (i >= 40, 0 if i >= 40 else i - 39,
+         brute.sha(fingerprints.edited(x, ordered[(i + 1) % 70]).encode()))
+        for i, x in enumerate(ordered)
+    ]
+    assert got == sorted(want) and (files == 1 or parts > 1)
+
+
 def test_sketches_recover_differences():
     rng = random.Random(4)
     pairs = []

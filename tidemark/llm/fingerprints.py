@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text is cut at line feeds and, by a rule on the bytes before them, at every second
-space or so, so that a long line is several paragraphs and a cut depends on nothing further away. Each
-paragraph's digest is added to three cells of a sketch. Subtracting two sketches leaves the
+A text is cut at line feeds and, by a rule on the last four bytes, after one byte in sixteen or
+so, whatever the bytes are, so that a long line is several paragraphs with or without spaces and
+a cut depends on nothing further away. Each paragraph's digest is added to three cells of a sketch. Subtracting two sketches leaves the
 digests that differ, and peeling cells of one digest recovers them; where that fails, larger
 sketches of the two texts are built.
 """
@@ -28,6 +28,8 @@ GROWTH = 4
 BATCH_CELLS = 1 << 19
 PAIR_BYTES = 2 << 20
 CHECK = U64(0x5851F42D4C957F2D)
+#: A cut follows four bytes whose hash has so many leading zero bits.
+CUT_BITS = 4
 CELL_SEEDS = np.arange(1, 4, dtype=U64) * U64(0xD1342543DE82EF95)
 
 
@@ -36,10 +38,15 @@ def paragraph_digests(text: bytes) -> np.ndarray:
     if not text:
         return np.zeros(0, U64)
     b = np.frombuffer(text, np.uint8)
-    stops = np.flatnonzero((b == 32) | (b == 10))
-    prior = b[np.maximum(stops[:, None] - np.array([1, 2, 3]), 0)].astype(np.uint32)
-    rule = (prior @ np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)) >> np.uint32(31)
-    ends = stops[(rule == 0) | (b[stops] == 10)] + 1
+    # The last four bytes as one number; the first three places have no cut but a line feed.
+    last = np.zeros(len(b), np.uint32)
+    if len(b) > 3:
+        for i in range(4):
+            last[3:] |= b[i : len(b) - 3 + i].astype(np.uint32) << np.uint32(8 * i)
+    last = (last ^ (last >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    cut = (last ^ (last >> np.uint32(13))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - CUT_BITS) == 0
+    cut[:3] = False
+    ends = np.flatnonzero(cut | (b == 10)) + 1
     digest = xxhash.xxh3_64_intdigest
     edges = [0, *ends.tolist(), len(text)]
     h = np.array([digest(text[x:y]) for x, y in zip(edges, edges[1:], strict=False) if y > x], U64)
@@ -176,33 +183,50 @@ def edit_fingerprints(
     The edited text is :func:`edited` with the next document in descending order of id; after
     the last comes the first. Returns ``id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. Null texts count as empty; two texts without
-    paragraphs have likeness 1. Rows without id come last; rows of the same id, and those
-    without, are ordered by text. A single row is its own next. An empty table gives no rows;
-    other columns are not read.
+    paragraphs have likeness 1. Rows of the same id are ordered by text. Rows without id come
+    last, by a hash of the text and then the text, in ranges of their own. A single row is its
+    own next. An empty table gives no rows; other columns are not read.
     """
     source = docs.select(
         quoted(id_col).cast("bigint").alias("id"), quoted(text_col).alias("text")
     )
-    part, target, place = fresh(source, "part", "target", "place")
-    cuts = id_ranges(source, "id", partitions(source))
+    part, target, place, key, none = fresh(source, "part", "target", "place", "key", "none")
+    # A row's key is its id or, without one, a hash of its text.
+    source = source.withColumn(none, F.col("id").isNull()).withColumn(
+        key, F.coalesce("id", F.xxhash64("text"))
+    )
+    cuts = id_ranges(source.where(~F.col(none)), key, partitions(source))
+    late = id_ranges(source.where(none), key, partitions(source))
     ranges = len(cuts) + 1
-    placed = source.withColumn(part, F.lit(ranges - 1) - range_of("id", cuts))
+    placed = source.withColumn(
+        part,
+        F.when(F.col(none), F.lit(ranges) + range_of(key, late)).otherwise(
+            F.lit(ranges - 1) - range_of(key, cuts)
+        ),
+    )
+    ranges += len(late) + 1
     # The first row of each range is copied to the end of the range before: a row a partition.
-    heads = placed.groupBy(part).agg(F.max("id").alias("id")).where(F.col("id").isNotNull())
-    heads = sorted(tuple(r) for r in heads.collect())
-    before = [(h[1], heads[i - 1][0]) for i, h in enumerate(heads)]
-    copies = source.sparkSession.createDataFrame(before, f"id bigint, {target} int")
+    first = F.when(F.col(none), F.min(key)).otherwise(F.max(key))
+    heads = placed.groupBy(part, none).agg(first.alias(key)).collect()
+    heads = sorted(tuple(r) for r in heads)
+    before = [(*h[1:], heads[i - 1][0]) for i, h in enumerate(heads)]
+    copies = source.sparkSession.createDataFrame(
+        before, f"{none} boolean, {key} bigint, {target} int"
+    )
     spots = F.array(F.struct(F.col(part).alias("p"), F.lit(False).alias("copy")))
     extra = F.array(F.struct(F.col(target).alias("p"), F.lit(True).alias("copy")))
     dealt = (
-        placed.join(F.broadcast(copies), "id", "left")
+        placed.join(F.broadcast(copies), [none, key], "left")
         .withColumn(
             place,
             F.explode(F.when(F.col(target).isNull(), spots).otherwise(F.concat(spots, extra))),
         )
-        .select("id", "text", F.col(f"{place}.copy").alias("copy"), F.col(f"{place}.p").alias("p"))
+        .select(
+            "id", "text", F.when(F.col(none), F.col(key)).alias("hash"),
+            F.col(f"{place}.copy").alias("copy"), F.col(f"{place}.p").alias("p"),
+        )
         .repartitionById(ranges, F.col("p"))
-        .sortWithinPartitions("copy", F.col("id").desc_nulls_last(), "text")
+        .sortWithinPartitions("copy", F.col("id").desc_nulls_last(), "hash", "text")
         .select("id", "text", "copy")
     )
 
