@@ -286,6 +286,32 @@ def test_mix(documents, rows):
     assert taken == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_mix_splits_rows_without_id(spark, capsys):
+    rng = random.Random(8)
+    rows = [
+        (None if i % 3 else i, " ".join(rng.choices("abcdefg", k=rng.randint(0, 9))) + f" {i}", "ab"[i % 2])
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    mixed = mixing.mix(df)
+    got = {r.text: r.taken for r in mixed.collect()}
+    for source in "ab":
+        own = spark.createDataFrame([r for r in rows if r[2] == source], df.schema).selectExpr(
+            "doc_id", "text", "md5('42:' || coalesce(CAST(doc_id AS string), '')) AS key", "xxhash64(text) AS tie"
+        )
+        ordered = sorted(
+            (r.key, len(brute.words(r.text)), r.tie, r.text) for r in own.collect()
+        )
+        left = math.floor(mixed.where(F.col("source") == source).first().target + 0.5)
+        whole, left = divmod(left, sum(x[1] for x in ordered))
+        for _, size, _, text in ordered:
+            assert got[text] == whole * size + min(size, left)
+            left -= min(size, left)
+    capsys.readouterr()
+    mixed.explain()
+    assert "shiftright" in capsys.readouterr().out
+
+
 def test_mix_odd_rows(odd_documents):
     got = mixing.mix(odd_documents)
     assert got.count() == 9 and got.columns.count("size") == 1

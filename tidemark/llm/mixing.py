@@ -10,12 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import BLANKS, WORD_PATTERN, any_columns, fresh, quoted, without
+from tidemark.llm.common import (
+    BLANKS, WORD_PATTERN, any_columns, fresh, id_ranges, quoted, range_of, without,
+)
 from tidemark.plans.staging import stage_table
 
 ADDED = ("size", "source_size", "target", "taken")
 #: Leading hex digits of a random key that name its range: 4096 ranges in each source.
 RANGE_DIGITS = 3
+#: Rows without id, which share a key, fall into about so many ranges of size and text hash.
+MISSING_RANGES = 1024
 
 
 def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
@@ -94,13 +98,14 @@ def mix(
     many tasks as it has ranges and reruns agree.
 
     A null text has size 0. Documents without source form a source of their own, the last one.
-    Documents without id share one random key. Ties are ordered by id, size and text, and
-    repeated rows are documents of their own. An empty table gives an empty table.
+    Documents without id share one random key, whose range is split by size and text. Ties are
+    ordered by id, size and text, and repeated rows are documents of their own. An empty table
+    gives an empty table.
     """
     docs = without(docs, *ADDED)
-    key, rng, rank, before, src, r, g, offset, budget, epochs, tie = fresh(
+    key, rng, rank, before, src, r, g, offset, budget, epochs, tie, sub, s, tail = fresh(
         docs, "key", "range", "rank", "before", "src", "r", "g", "offset", "budget", "epochs",
-        "tie",
+        "tie", "sub", "s", "tail",
     )
     size = F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD_PATTERN)), F.lit(0))
     identity = F.coalesce(quoted(id_col).cast("string"), F.lit(""))
@@ -116,25 +121,43 @@ def mix(
     targets = stage_table(source_targets(sizes, weights, share, most), "targets").select(
         F.col("source").alias(src), F.col("rank").alias(rank), "source_size", "target"
     )
+    # Size and the upper half of the text's hash, in the order of both.
+    missing = quoted(id_col).isNull()
+    sized = sized.withColumn(
+        tail, F.when(missing, F.col("size") * (1 << 32) + F.shiftright(tie, 32))
+    )
+    cuts = id_ranges(sized.where(missing), tail, MISSING_RANGES)
+    shared = F.md5(F.lit(f"{seed}:").cast("binary"))
     placed = (
         sized.join(targets, quoted(source_col).eqNullSafe(quoted(src)))
         .drop(src)
         .withColumn(rng, F.substring(key, 1, RANGE_DIGITS))
+        .withColumn(
+            sub,
+            F.when(missing, range_of(tail, cuts)).otherwise(
+                F.when(F.col(key) < shared, F.lit(-1)).otherwise(F.lit(len(cuts) + 1))
+            ),
+        )
+        .drop(tail)
     )
-    ranges = placed.groupBy(rank, rng).agg(F.sum("size").alias("_sum"))
-    earlier = W.partitionBy(rank).orderBy(rng).rowsBetween(W.unboundedPreceding, -1)
+    ranges = placed.groupBy(rank, rng, sub).agg(F.sum("size").alias("_sum"))
+    earlier = W.partitionBy(rank).orderBy(rng, sub).rowsBetween(W.unboundedPreceding, -1)
     offsets = ranges.select(
         F.col(rank).alias(r),
         F.col(rng).alias(g),
+        F.col(sub).alias(s),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(offset),
     )
-    order = W.partitionBy(rank, rng).orderBy(key, quoted(id_col), "size", tie)
+    order = W.partitionBy(rank, rng, sub).orderBy(key, quoted(id_col), "size", tie)
     inside = F.coalesce(
         F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
     rest = F.col(budget) - F.col(epochs) * F.col("source_size")
     return (
-        placed.join(offsets, (F.col(rank) == F.col(r)) & (F.col(rng) == F.col(g)))
+        placed.join(
+            offsets,
+            (F.col(rank) == F.col(r)) & (F.col(rng) == F.col(g)) & (F.col(sub) == F.col(s)),
+        )
         .withColumn(before, inside + F.col(offset))
         .withColumn(budget, F.floor(F.col("target") + 0.5).cast("bigint"))
         .withColumn(
