@@ -47,7 +47,7 @@ def rows(spark, name):
 
 def test_one_query_for_each_operator():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, lines, mixing, packing, recompression, simhash, suffixes, tokens, topk
+from tidemark.llm import fingerprints, interactions, language, lines, mixing, negatives, packing
+from tidemark.llm import recompression, secrets, simhash, suffixes, tokens, topk
 from tidemark.llm.oracle import SQL
 from tidemark.llm.shipping import ship
 from tidemark.plans.staging import scratch_path
@@ -106,9 +107,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return secrets.secret_report(secrets.find_secrets(docs)).drop("text", "secrets")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return interactions.audit(interactions.document_masks(documents(spark, sf_dir), labels))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved))
+
+
 def queries() -> dict[str, Query]:
     return {
-        f.__name__: f for f in (op1_pack, op2_token_files, op3_passages, op4_top_k, op5_fingerprints, op6_suffixes, op7_line_dedup, op8_language, op9_mix, op10_simhash)
+        f.__name__: f for f in (op1_pack, op2_token_files, op3_passages, op4_top_k, op5_fingerprints, op6_suffixes, op7_line_dedup, op8_language, op9_mix, op10_simhash, op11_secrets, op12_filter_audit, op13_hard_negatives)
     }
 
 
