@@ -185,6 +185,7 @@ def document_masks(
     judged = map_texts(source, "text", judge, f"id {kind}, part string, mask int, h1 bigint, h2 bigint")
     # Equal rows become one before the first join, so no id is frequent there.
     judged = judged.groupBy("id", "part", "mask", "h1", "h2").agg(F.count("*").alias("n"))
+    judged = stage_table(judged, "judged-documents")  # rows with and without id part ways below
     marks = labels.groupBy(quoted(id_col).alias("id")).agg(
         F.max(F.expr("quality = 1")).alias("good"), F.max(F.expr("toxic = 1")).alias("toxic")
     )
