@@ -1269,14 +1269,16 @@ def stream_detect_hours(spark, d):
 
 @query("stream_incidents", O.incident_sql("isl_full"))
 def stream_incidents(spark, d):
-    arriving = scratch_path(spark, "decisions")
-    scored = decided(spark, d).select(*D.DECISION_COLUMNS)
-    # Three deliveries in time order, ten days each.
+    """Three deliveries of ten days each; the job is stopped after each and resumed."""
+    arriving, folder = scratch_path(spark, "decisions"), scratch_path(spark, "incident-job")
     period = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
-    staged = stage_table(scored.withColumn("_period", period), "scored")
+    staged = stage_table(
+        decided(spark, d).select(*D.DECISION_COLUMNS).withColumn("_period", period), "scored"
+    )
     for n in range(3):
         staged.where(F.col("_period") == n).drop("_period").write.mode("append").parquet(arriving)
-    return SI.all_incidents(spark, arriving)
+        SI.run_incidents(spark, arriving, folder)
+    return SI.current_incidents(spark, folder)
 
 
 def queries() -> dict[str, Query]:
