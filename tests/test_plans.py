@@ -1,12 +1,15 @@
 """Physical plans: what is scanned, how often rows are shuffled, and that no Python runs in tasks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.catalog import queries as C
 from tidemark.operators import baseline as B
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
 from tidemark.operators import splits as P
+from tidemark.plans.layout import open_parts, store_parts
+from tidemark.plans.series import core
 from tidemark.sources import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +61,55 @@ def test_no_python_and_no_cross_join(hours):
     text = plan(C.processed_parts(hours))
     assert "Python" not in text and "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.fixture(scope="module")
+def stored(spark, hours):
+    """Processed hours as a stored table in parts."""
+    from tidemark.operators import features
+
+    flows = features.flow_features(core(C.processed_parts(hours), C.runs.RUN_LAYOUT))
+    return store_parts(flows, "plan-test", C.FEATURE_LAYOUT, buckets=5)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """The plan of a large fleet: nothing is small enough to broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_frames_over_stored_parts_do_not_shuffle(stored):
+    for fn in (X.hourly_lags, X.hourly_rolling):
+        text = plan(fn(stored, layout=C.FEATURE_LAYOUT))
+        assert "Exchange" not in text and "Bucketed: true" in text
+
+
+def test_runs_over_stored_parts_shuffle_summaries_only(stored, no_broadcast):
+    """Two exchanges, both of one row per part: to the meter and back to the part."""
+    df = Q.run_length(stored, F.col("flag_over10"), "run", C.FEATURE_LAYOUT)
+    text = plan(df)
+    assert text.count("Exchange") == 2
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("Bucketed: true" in line for line in scans)
+    below = text[text.index("Exchange"):]
+    assert "Aggregate" in below and "Window" in below
+
+
+def test_stored_parts_open_again(spark, hours, tmp_path):
+    path = str(tmp_path / "parts")
+    first = store_parts(hours.select("meter_id", "ts", "xvs_m3"), "again", C.FEATURE_LAYOUT, 3, path)
+    schema = "meter_id bigint, ts timestamp_ntz, xvs_m3 double, part bigint"
+    again = open_parts(spark, path, "again", schema, C.FEATURE_LAYOUT, 3)
+    lags = X.lag_and_rolling(again, ("xvs_m3",), (1,), (), "h", C.FEATURE_LAYOUT)
+    assert "Exchange" not in plan(lags) and again.exceptAll(first).count() == 0
+    assert core(again, C.FEATURE_LAYOUT).count() == hours.count() < again.count()
+
+
+def test_labels_of_the_own_row_need_no_join(hours):
+    table = hours.withColumn("is_anomaly_final", F.lit(True))
+    text = plan(X.hourly_base(table))
+    assert "Join" not in text and "Exchange" not in text

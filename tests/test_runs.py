@@ -7,6 +7,7 @@ from tidemark.operators import detect as D
 from tidemark.params import Params
 from tidemark.plans import runs
 from tidemark.sources import events as E
+from tidemark.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 PARAMS = Params(
@@ -25,9 +26,9 @@ def outdir(spark, tmp_path_factory):
 
 
 def test_detection_tables(spark, outdir):
-    full = spark.read.parquet(f"{outdir}/online_decisions_full")
+    full = sinks.read_days(spark, f"{outdir}/online_decisions_full")
     assert set(D.DECISION_COLUMNS) <= set(full.columns)
-    assert spark.read.parquet(f"{outdir}/online_decisions").count() == 24
+    assert sinks.read_days(spark, f"{outdir}/online_decisions").count() == 24
     assert spark.read.parquet(f"{outdir}/baseline").count() == 168
     assert spark.read.json(f"{outdir}/current_decision").count() == 1
 

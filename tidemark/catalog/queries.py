@@ -26,7 +26,8 @@ from tidemark.operators import quality as Q
 from tidemark.operators import splits as P
 from tidemark.params import CAUSE_LABEL, CAUSE_PRIOR, CAUSE_RULE, DEFAULTS, UNKNOWN_LABEL, Params
 from tidemark.plans import runs
-from tidemark.plans.series import METER, core, spread
+from tidemark.plans.layout import store_parts
+from tidemark.plans.series import HOURLY, METER, core, spread
 from tidemark.plans.staging import scratch_path, stage, stage_table
 from tidemark.sources import events as E
 from tidemark.sources import readings as R
@@ -122,10 +123,10 @@ def decisions_test(spark: SparkSession, d: str, basic: bool = False) -> DataFram
 
 
 def base(spark: SparkSession, d: str, params: Params = DEFAULTS) -> DataFrame:
-    """The labelled hourly base, from a stored detection result."""
+    """The labelled hourly base, from a stored detection result, whose rows hold their label."""
     stored = stage_table(detected(spark, d, params), "detected")
-    hours = stored.select(*PROCESSED.split(", "), "series_start", "series_end")
-    return X.hourly_base(hours, stored.select(*D.DECISION_COLUMNS))
+    hours = stored.select(*PROCESSED.split(", "), "series_start", "series_end", "is_anomaly_final")
+    return X.hourly_base(hours)
 
 
 PROCESSED = comma(
@@ -175,9 +176,8 @@ def scan_encoding_fallback(spark, d):
 @query("scan_processed_hourly", f"SELECT {PROCESSED} FROM proc")
 def scan_processed_hourly(spark, d):
     path = scratch_path(spark, "processed")
-    table = processed(spark, d)
-    sinks.write_by_day(table, path)
-    return processed_columns(R.read_processed(spark, path, table.schema))
+    sinks.write_days(processed(spark, d), path)
+    return processed_columns(R.parse_ts(sinks.read_days(spark, path)))
 
 
 @query(
@@ -207,11 +207,20 @@ def _round_trip(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _written_by_day(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A day table after a first write and a rerun of its last day."""
+    path = scratch_path(spark, name)
+    rows = stage_table(df if "day" in df.columns else df.withColumn("day", T.day_of(F.col("ts"))), name)
+    sinks.write_days(rows, path)
+    last = rows.agg(F.max("day")).first()[0]
+    sinks.write_days(rows.where(F.col("day") == F.lit(last)), path)
+    return sinks.read_days(spark, path)
+
+
 @query("sink_hourly", f"SELECT {PROCESSED} FROM proc")
 def sink_hourly(spark, d):
-    path = scratch_path(spark, "hourly")
-    sinks.write_by_day(processed(spark, d), path)
-    return processed_columns(spark.read.parquet(path))
+    """All days are written, then the last one again."""
+    return processed_columns(_written_by_day(spark, processed(spark, d), "hourly"))
 
 
 ALERTS = comma(*Q.ALERT_COLUMNS)
@@ -242,7 +251,7 @@ def balanced(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sink_daily", DAILY_SQL)
 def sink_daily(spark, d):
-    return _round_trip(spark, Q.daily_report(balanced(spark, d)), "daily")
+    return _written_by_day(spark, Q.daily_report(balanced(spark, d)), "daily")
 
 
 DECISIONS_EXACT = (
@@ -266,7 +275,7 @@ def sink_decisions(spark, d):
     tables = {"test": decisions_test(spark, d), "full": decisions_full(spark, d)}
     return ML.concat_horizons(
         [
-            decision_columns(_round_trip(spark, df, f"decisions-{scope}"), *POST_TEXTS).select(
+            decision_columns(_written_by_day(spark, df, f"decisions-{scope}"), *POST_TEXTS).select(
                 F.lit(scope).alias("scope"), "*"
             )
             for scope, df in tables.items()
@@ -276,7 +285,7 @@ def sink_decisions(spark, d):
 
 @query("sink_incidents", O.incident_sql("isl_full"))
 def sink_incidents(spark, d):
-    return _round_trip(spark, I.incidents(decisions_full(spark, d)), "events")
+    return _round_trip(spark, incidents(spark, d), "events")
 
 
 @query("sink_forecasts")
@@ -592,7 +601,11 @@ def safe_numeric(spark, d):
 
 @query("label_join", "SELECT meter_id, ts, is_anomaly_final, label FROM base")
 def label_join(spark, d):
-    return base(spark, d).select(*KEYS, "is_anomaly_final", "label")
+    """Hours and decisions as two stored tables."""
+    stored = stage_table(detected(spark, d), "detected")
+    hours = stage_table(processed_columns(stored), "hours")
+    decisions = stage_table(stored.select(*D.DECISION_COLUMNS), "decisions")
+    return X.hourly_base(hours, decisions).select(*KEYS, "is_anomaly_final", "label")
 
 
 BASE_ROUNDED = ("beta_delta_w", "beta_ratio_w")
@@ -743,9 +756,24 @@ def global_sigma(spark, d):
     return B.global_sigma(train(spark, d))
 
 
+ISLAND_LAYOUT = HOURLY.needing(before=1)
+FEATURE_LAYOUT = HOURLY.needing(before=max(*DEFAULTS.lags_hours, *DEFAULTS.roll_windows_h))
+
+
+def island_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Islands over stored decisions in parts."""
+    parts = store_parts(decisions_full(spark, d), "decisions", ISLAND_LAYOUT)
+    return I.incident_islands(parts, layout=ISLAND_LAYOUT)
+
+
+def flow_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of stored processed hours in parts."""
+    return store_parts(X.flow_features(processed(spark, d)), "processed", FEATURE_LAYOUT)
+
+
 @query("incidents", O.incident_sql("isl_full"))
 def incidents(spark, d):
-    return I.incidents(decisions_full(spark, d))
+    return I.island_incidents(core(island_parts(spark, d), ISLAND_LAYOUT))
 
 
 @query("label_day_max", "SELECT meter_id, day, day_label FROM day_lab")
@@ -863,9 +891,9 @@ def label_match_stats(spark, d):
 )
 def run_length(spark, d):
     """Consecutive hours over the balance limit."""
-    return Q.run_length(balanced(spark, d), F.col("flag_over10"), "over_run").select(
-        *KEYS, "over_run"
-    )
+    hours = store_parts(balanced(spark, d).select(*KEYS, "flag_over10"), "balanced", HOURLY)
+    runs_of = Q.run_length(hours, F.col("flag_over10"), "over_run")
+    return core(runs_of, HOURLY).select(*KEYS, "over_run")
 
 
 def _quality(kind: str) -> list[str]:
@@ -901,20 +929,21 @@ def persistence_filter_basic(spark, d):
 
 @query("incident_islands", "SELECT meter_id, ts, is_anomaly, top_cause, island_start FROM isl_full")
 def incident_islands(spark, d):
-    return I.incident_islands(decisions_full(spark, d)).select(
+    return core(island_parts(spark, d), ISLAND_LAYOUT).select(
         *KEYS, "is_anomaly", "top_cause", "island_start"
     )
 
 
 @query("hourly_lags", f"SELECT meter_id, ts, {comma(*O.LAGS_H)} FROM lagged")
 def hourly_lags(spark, d):
-    return X.hourly_lags(X.flow_features(processed(spark, d))).select(*KEYS, *O.LAGS_H)
+    lags = X.hourly_lags(flow_parts(spark, d), layout=FEATURE_LAYOUT)
+    return core(lags, FEATURE_LAYOUT).select(*KEYS, *O.LAGS_H)
 
 
 @query("hourly_rolling", f"SELECT meter_id, ts, {O.stable_cols(*O.ROLLS_H)} FROM rolled")
 def hourly_rolling(spark, d):
-    rolled = X.hourly_rolling(X.flow_features(processed(spark, d)))
-    return rolled.select(*KEYS, *[stable(c) for c in O.ROLLS_H])
+    rolled = X.hourly_rolling(flow_parts(spark, d), layout=FEATURE_LAYOUT)
+    return core(rolled, FEATURE_LAYOUT).select(*KEYS, *[stable(c) for c in O.ROLLS_H])
 
 
 def daily_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -121,12 +121,14 @@ def hourly_base(
 ) -> DataFrame:
     """The hourly table with flows, label and calendar.
 
-    Final decisions label the hours if they are given; otherwise an hour over the relative limit
-    is positive.
+    Final decisions label the hours: those of the rows themselves, or else of a table of
+    decisions. Without any, an hour over the relative limit is positive.
     """
     flows = flow_features(processed, params)
     usable = decisions is not None and "is_anomaly_final" in decisions.columns
-    if params.use_online_labels and usable:
+    if params.use_online_labels and "is_anomaly_final" in flows.columns:
+        labelled = flows.withColumn("label", F.coalesce("is_anomaly_final", F.lit(False)))
+    elif params.use_online_labels and usable:
         labelled = label_join(flows, decisions)
     else:
         over = F.col("rel_diff") > params.rel_diff_limit

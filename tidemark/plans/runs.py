@@ -20,7 +20,7 @@ from tidemark.operators import quality as Q
 from tidemark.params import DEFAULTS, Params
 from tidemark.plans.series import HOURLY, Layout, core
 from tidemark.sources import sinks
-from tidemark.sources.readings import read_optional, read_processed
+from tidemark.sources.readings import parse_ts
 
 # Spikes look 12 hours back and 11 ahead, persistence and incidents a few hours further back.
 RUN_LAYOUT = HOURLY.needing(before=24, after=24)
@@ -70,10 +70,11 @@ def run_detection(
             "online_decisions_full", "events", "current_decision", "summary",
         )
     }
-    sinks.write_by_day(processed_hours(readings, params, **options), paths["processed_hourly"])
-    hours = read_processed(spark, paths["processed_hourly"])
+    processed = processed_hours(readings, params, **options)
+    sinks.write_days(processed, paths["processed_hourly"], whole=True)
+    hours = sinks.read_days(spark, paths["processed_hourly"])
     sinks.write_table(Q.alerts(hours), paths["alerts"])
-    sinks.write_table(Q.daily_report(hours, params), paths["daily_report"])
+    sinks.write_days(Q.daily_report(hours, params), paths["daily_report"], whole=True)
 
     windows = G.train_test_tail(hours, params)
     sinks.write_table(B.fit_baseline(windows.where("is_train"), params), paths["baseline"])
@@ -83,12 +84,12 @@ def run_detection(
         ("online_decisions_full", hours),
     ):
         decided = D.detect_hours(scope, baseline, params)
-        sinks.write_table(D.decision_postprocess(decided, params), paths[name])
-    decisions = spark.read.parquet(paths["online_decisions"])
+        sinks.write_days(D.decision_postprocess(decided, params), paths[name], whole=True)
+    decisions = sinks.read_days(spark, paths["online_decisions"])
     sinks.write_table(I.incidents(decisions, params), paths["events"])
     sinks.write_json(D.latest_decision(decisions), paths["current_decision"])
     summary = run_summary(
-        hours, spark.read.parquet(paths["alerts"]), spark.read.parquet(paths["daily_report"]), params
+        hours, spark.read.parquet(paths["alerts"]), sinks.read_days(spark, paths["daily_report"]), params
     )
     sinks.write_json(summary, paths["summary"])
     return summary
@@ -115,11 +116,12 @@ def run_summary(
 
 def stored_base(spark: SparkSession, indir: str, params: Params = DEFAULTS) -> DataFrame:
     """Hourly base of a finished detection run; decisions are optional."""
-    hours = read_processed(spark, f"{indir}/processed_hourly")
-    schema = "meter_id bigint, ts timestamp_ntz, is_anomaly_final boolean"
-    probe = spark.createDataFrame([], schema)
-    decisions = read_optional(spark, f"{indir}/online_decisions_full", probe.schema)
-    return X.hourly_base(hours, decisions if not decisions.isEmpty() else None, params)
+    hours = parse_ts(sinks.read_days(spark, f"{indir}/processed_hourly"))
+    try:
+        decisions = sinks.read_days(spark, f"{indir}/online_decisions_full")
+    except FileNotFoundError:
+        decisions = None
+    return X.hourly_base(hours, decisions, params)
 
 
 def run_training(

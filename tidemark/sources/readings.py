@@ -68,7 +68,11 @@ def read_readings_csv(
 def read_processed(spark: SparkSession, path: str, schema: t.StructType | None = None) -> DataFrame:
     """A stored hourly table; ``ts`` kept as text elsewhere is parsed, bad values become NULL."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    table = reader.parquet(path)
+    return parse_ts(reader.parquet(path))
+
+
+def parse_ts(table: DataFrame) -> DataFrame:
+    """Times kept as text become times; bad ones become NULL."""
     if dict(table.dtypes)["ts"] == "string":
         table = table.withColumn("ts", F.col("ts").try_cast("timestamp_ntz"))
     return table
