@@ -160,16 +160,25 @@ def scan_readings_csv(spark, d):
     f"SELECT {RAW.replace('hour_raw', 'replace(hour_raw, chr(45), chr(8211)) AS hour_raw')} FROM raw_text",
 )
 def scan_encoding_fallback(spark, d):
-    """A file in the Cyrillic code page with its original headers, read without naming it."""
-    path = scratch_path(spark, "readings-cp1251")
+    """A folder of three kinds of files, read without naming an encoding: UTF-8, the Cyrillic code
+    page with its own headers, and the code page under a header of plain ASCII."""
+    path = scratch_path(spark, "readings-mixed")
     headers = {v: k for k, v in R.CSV_HEADERS.items()}
-    dashed = E.raw_texts(E.readings(spark, d)).withColumn(
-        "hour_raw", F.translate(F.translate("hour_raw", "-", "–"), R.CP1251_CHARS, R.LATIN1_CHARS)
+    texts = stage_table(
+        E.raw_texts(E.readings(spark, d)).withColumn("hour_raw", F.translate("hour_raw", "-", "–")),
+        "raw-texts",
     )
-    single_byte = {c: headers.get(c, c).encode("cp1251").decode("latin-1") for c in dashed.columns}
-    dashed.select(*[F.col(c).alias(n) for c, n in single_byte.items()]).write.option(
-        "header", True
-    ).option("encoding", "ISO-8859-1").csv(path)
+    kind = F.pmod(F.day(F.to_date("date_raw", "dd.MM.yyyy")), F.lit(3))
+    for n, cyrillic, known in ((0, False, True), (1, True, True), (2, True, False)):
+        part = texts.where(kind == n)
+        names = {c: headers.get(c, c) if known else c for c in texts.columns}
+        if cyrillic:
+            # The code page's bytes as the Latin-1 characters of the same numbers.
+            part = part.withColumn("hour_raw", F.translate("hour_raw", R.CP1251_CHARS, R.LATIN1_CHARS))
+            names = {c: x.encode("cp1251").decode("latin-1") for c, x in names.items()}
+        part.select(*[F.col(c).alias(x) for c, x in names.items()]).write.mode("append").csv(
+            path, header=True, encoding="ISO-8859-1" if cyrillic else "UTF-8"
+        )
     return R.read_readings_csv(spark, path).select(*RAW.split(", "))
 
 
