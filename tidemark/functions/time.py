@@ -6,6 +6,8 @@ at a daylight-saving change. The expressions below only combine dates and hour n
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,18 @@ def hour_from_number(number: Column) -> Column:
     return add_hours(day.cast("timestamp_ntz"), F.pmod(number, F.lit(24)))
 
 
+def wall_clock(value: datetime | None) -> Column:
+    """A literal of a time as the driver got it; by its text, as no zone touches that."""
+    return F.lit(value and str(value)).cast("timestamp_ntz")
+
+
+def utc_instant(ts: Column) -> Column:
+    """The instant at which a clock in UTC shows ``ts``: what watermarks take."""
+    seconds = hour_number(ts) * 3600 + F.minute(ts) * 60
+    fraction = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return F.timestamp_micros(seconds * 1_000_000 + fraction)
+
+
 def parse_date(text: Column) -> Column:
     """Day-first dotted dates, else ISO dates or timestamps, else NULL."""
     dotted = F.try_to_date(F.trim(text), DATE_FORMAT).cast("timestamp_ntz")

@@ -55,13 +55,21 @@ def baseline_lookup(hours: DataFrame, baseline: DataFrame) -> DataFrame:
 
     The baseline has 168 rows per meter and grows with the fleet, so there is no broadcast hint:
     Spark broadcasts it while its measured size is below the session's threshold and joins on the
-    evenly distributed key (meter, hour of week) beyond.
+    evenly distributed key (meter, hour of week) beyond. Of a baseline in versions (``valid_from``,
+    ``valid_to``) an hour gets the one that is valid at that hour.
     """
     weekday = F.col("weekday_norm") if "weekday_norm" in hours.columns else F.lit(None)
     slots = baseline.select(METER, "how", *STATISTICS, "global_sigma_delta", "global_sigma_ratio")
-    return hours.withColumn("how", T.hour_of_week(weekday, F.col("ts"))).join(
-        slots, [METER, "how"], "left"
+    located = hours.withColumn("how", T.hour_of_week(weekday, F.col("ts")))
+    if "valid_from" not in baseline.columns:
+        return located.join(slots, [METER, "how"], "left")
+    dated = baseline.select(
+        F.col(METER).alias("_meter"), F.col("how").alias("_how"),
+        F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *slots.columns[2:],
     )
+    valid = (F.col("ts") >= F.col("_from")) & F.coalesce(F.col("ts") < F.col("_to"), F.lit(True))
+    same = (F.col(METER) == F.col("_meter")) & (F.col("how") == F.col("_how"))
+    return located.join(dated, same & valid, "left").drop("_meter", "_how", "_from", "_to")
 
 
 def zscores(looked_up: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -6,10 +6,13 @@ later run with the same folder continues where the last one ended and reads noth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tidemark.sources.readings import read_optional
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,5 +50,30 @@ def run_available(stream: DataFrame, folder: str) -> None:
     job.awaitTermination()
 
 
+def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None]) -> None:
+    """Process everything that has arrived, batch by batch.
+
+    A batch that is repeated after a failure has the same number and rows: ``step`` replaces what
+    it wrote before (:func:`write_batch`).
+    """
+    job = (
+        stream.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+
+
+def write_batch(df: DataFrame, table: str, batch: int) -> None:
+    """Store a batch's rows as the partition ``batch`` of a table."""
+    df.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """All batches written so far, with their number; none yet, no rows."""
+    return read_optional(spark, table, StructType([*schema.fields, StructField("batch", LongType())]))
+
+
 def read_output(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(output_path(folder))
