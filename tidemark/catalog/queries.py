@@ -312,27 +312,66 @@ def sink_forecasts(spark, d):
     return _round_trip(spark, both, "forecasts")
 
 
+def _both_backtests(spark: SparkSession, d: str) -> DataFrame:
+    """Backtests of hours and days in one table, with the time bounds as text."""
+    parts = []
+    for name, kind, df in (
+        ("hourly", ML.HOURS, backtest_hourly(spark, d)), ("daily", ML.DAYS, backtest_daily(spark, d))
+    ):
+        bounds = [F.col(c).cast("string").alias(c) for c in ("train_start", "train_end", "test_start", "test_end")]
+        parts.append(
+            df.select(
+                F.lit(name).alias("granularity"), F.col(kind.horizon).alias("horizon"),
+                "fold", "f1", "roc_auc", "n_train", "n_test", "n_pos_te", *bounds,
+            )
+        )
+    return ML.concat_horizons(parts)
+
+
 @query("sink_backtests")
 def sink_backtests(spark, d):
-    return _round_trip(spark, backtest_daily(spark, d), "backtests")
+    return _round_trip(spark, _both_backtests(spark, d), "backtests")
 
 
 @query("sink_metrics")
 def sink_metrics(spark, d):
     path = scratch_path(spark, "metrics")
-    sinks.write_json(M.metric_means(backtest_daily(spark, d), "horizon_d"), path)
-    return spark.read.schema("horizon_d int, f1 double, roc_auc double").json(path)
+    stored = stage_table(_both_backtests(spark, d), "backtests")
+    means = [
+        M.metric_means(stored.where(F.col("granularity") == name), "horizon").select(
+            F.lit(name).alias("granularity"), "*"
+        )
+        for name in ("hourly", "daily")
+    ]
+    sinks.write_json(ML.concat_horizons(means), path)
+    return spark.read.schema("granularity string, horizon int, f1 double, roc_auc double").json(path)
 
 
 @query("sink_models")
 def sink_models(spark, d):
-    """Train, save, load and list what was loaded."""
+    """Train, save and load; both score all rows, and equal scores are counted."""
     path = scratch_path(spark, "models")
     table = daily_table(spark, d)
-    ML.save_bundle(ML.train_models(table, ML.DAYS), path)
+    bundle = ML.train_models(table, ML.DAYS)
+    ML.save_bundle(bundle, path)
     loaded = ML.load_bundle(path, ML.DAYS)
-    rows = [(h, len(loaded.features[h])) for h in sorted(loaded.models)]
-    return spark.createDataFrame(rows, "horizon_d int, n_features int")
+    names = sorted({n for own in loaded.features.values() for n in own})
+    rows = stage_table(P.impute(table.select(METER, "day", *names), names, ML.DAYS.layout), "scored-rows")
+    parts = []
+    for h, model in sorted(loaded.models.items()):
+        both = ML.probability(bundle.models[h], ML.probability(model, rows, "p_loaded"), "p_saved")
+        parts.append(
+            both.agg(
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count_if(F.col("p_loaded") == F.col("p_saved")).alias("n_equal"),
+                F.round(F.avg("p_loaded"), 6).alias("mean_p"),
+            ).select(F.lit(h).alias("horizon_d"), F.lit(len(loaded.features[h])).alias("n_features"), "*")
+        )
+    if not parts:
+        return spark.createDataFrame(
+            [], "horizon_d int, n_features int, n_rows bigint, n_equal bigint, mean_p double"
+        )
+    return ML.concat_horizons(parts)
 
 
 # --------------------------------------------------------------------------- 2.2 time and units
@@ -1226,26 +1265,16 @@ def daily_table(spark: SparkSession, d: str) -> DataFrame:
     return ML.labelled_days(base(spark, d, LONG_RUNS))
 
 
-def _bundle_rows(spark: SparkSession, bundle: ML.Bundle) -> DataFrame:
-    rows = [
-        (h, len(bundle.features[h]), type(m.stages[-1]).__name__)
-        for h, m in sorted(bundle.models.items())
-    ]
-    return spark.createDataFrame(
-        rows, f"{bundle.granularity.horizon} int, n_features int, model string"
-    )
-
-
 @query("train_hourly_models")
 def train_hourly_models(spark, d):
     table = ML.labelled_hours(base(spark, d))
-    return _bundle_rows(spark, ML.train_models(table, ML.HOURS))
+    return ML.training_log(spark, ML.train_models(table, ML.HOURS))
 
 
 @query("train_daily_models")
 def train_daily_models(spark, d):
     table = daily_table(spark, d)
-    return _bundle_rows(spark, ML.train_models(table, ML.DAYS))
+    return ML.training_log(spark, ML.train_models(table, ML.DAYS))
 
 
 @query("backtest_hourly")
@@ -1275,7 +1304,7 @@ def model_factory(spark, d):
     """Every model the factory offers, fitted on the daily table."""
     table = daily_table(spark, d)
     fitted = [
-        _bundle_rows(
+        ML.training_log(
             spark, ML.train_models(table, ML.DAYS, replace(DEFAULTS, model_name=name))
         ).select(F.lit(name).alias("name"), "*")
         for name in ("gbt", "rf", "logreg")

@@ -13,13 +13,14 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml import Pipeline as Stages
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
@@ -29,21 +30,29 @@ from tidemark.operators import metrics as M
 from tidemark.operators import splits as P
 from tidemark.operators.grid import with_series_bounds
 from tidemark.params import DEFAULTS, Params
-from tidemark.plans.series import DAILY, HOURLY, METER, Layout
+from tidemark.plans.series import DAILY, HOURLY, METER, Layout, over_series, window
 from tidemark.plans.staging import stage_table
 
 PARALLEL_FITS = 6  # driver threads that submit fits; every fit is a distributed job
 
 
-def build_estimator(name: str, params: Params = DEFAULTS) -> Estimator:
-    """Classifier by name; unknown names fall back to boosted trees."""
+def build_estimator(
+    name: str, params: Params = DEFAULTS, validation: str | None = None
+) -> Estimator:
+    """Classifier by name.
+
+    Boosting stops early once the loss on rows where the column ``validation`` is true does not
+    improve any more; the other models do not look at it.
+    """
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
+    stopping = {"validationIndicatorCol": validation, "validationTol": params.validation_tol}
     builders: dict[str, Callable[[], Estimator]] = {
         "gbt": lambda: GBTClassifier(
             maxDepth=params.max_depth,
             stepSize=params.step_size,
             maxIter=params.max_iter,
             seed=params.seed,
+            **(stopping if validation else {}),
             **common,
         ),
         "rf": lambda: RandomForestClassifier(
@@ -51,7 +60,9 @@ def build_estimator(name: str, params: Params = DEFAULTS) -> Estimator:
         ),
         "logreg": lambda: LogisticRegression(maxIter=params.max_iter, **common),
     }
-    return builders.get(name.lower(), builders["gbt"])()
+    if name.lower() not in builders:
+        raise ValueError(f"unknown model {name!r}; known are {', '.join(builders)}")
+    return builders[name.lower()]()
 
 
 @dataclass(frozen=True)
@@ -66,15 +77,18 @@ class Granularity:
     feature_names: Callable[[DataFrame, Params], list[str]]
     horizons: Callable[[Params], tuple[int, ...]]
     min_train_days: Callable[[Params], int]
+    number: Callable[[Column], Column]
 
 
 HOURS = Granularity(
     "hourly", "ts", "hour", "horizon_h", HOURLY, X.hourly_feature_names,
     lambda p: p.hour_horizons, lambda p: p.min_train_days,
+    T.hour_number,
 )
 DAYS = Granularity(
     "daily", "day", "day", "horizon_d", DAILY, X.daily_feature_names,
     lambda p: p.day_horizons, lambda p: p.min_train_days_daily,
+    lambda c: T.day_number(T.day_of(c)),
 )
 
 
@@ -85,6 +99,7 @@ class Bundle:
     granularity: Granularity
     models: dict[int, PipelineModel] = field(default_factory=dict)
     features: dict[int, list[str]] = field(default_factory=dict)
+    losses: dict[int, list[float]] = field(default_factory=dict)
 
 
 def labelled_hours(base: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -123,14 +138,17 @@ def _horizon_table(
     return X.shift_features(one, names, steps, kind.layout)
 
 
-def _fit(train: DataFrame, names: list[str], params: Params) -> PipelineModel:
+def _fit(
+    train: DataFrame, names: list[str], params: Params, validation: str | None = None
+) -> PipelineModel:
     stages = Stages(
         stages=[
             VectorAssembler(inputCols=names, outputCol="features"),
-            build_estimator(params.model_name, params),
+            build_estimator(params.model_name, params, validation),
         ]
     )
-    return stages.fit(P.class_weights(train.select("y", *names), params))
+    more = [validation] if validation else []
+    return stages.fit(P.class_weights(train.select("y", *more, *names), params))
 
 
 def _varying(train: DataFrame, names: list[str]) -> list[str]:
@@ -144,27 +162,128 @@ def _has_both_classes(train: DataFrame) -> bool:
     return low is not None and low != high
 
 
+def shared_rows(table: DataFrame, kind: Granularity, params: Params = DEFAULTS) -> DataFrame:
+    """One stored table of filled features that all horizons train on.
+
+    Training on features of ``h`` hours earlier needs no shifted copy of the features for each
+    horizon: the labels move instead. ``l_<h>`` are the labels that a row's features predict. The
+    first row of a series also stands for the ``h`` rows before any shifted value is known, which
+    a backward fill gives its values. ``place`` is the row's share of its series' length.
+    """
+    names = kind.feature_names(table, params)
+    horizons = kind.horizons(params)
+    steps = {h: h if params.feature_shift == "horizon" else 0 for h in horizons}
+    layout = kind.layout.needing(after=max(*steps.values(), 1))
+    first = F.col(kind.time) == F.col("series_start").cast(dict(table.dtypes)[kind.time])
+    length = F.col("_last") - F.col("_first") + 1
+
+    def labels(parts: DataFrame) -> DataFrame:
+        order = window(layout)
+        ahead = {
+            h: [F.lead(f"y_{h}", i).over(order) for i in range(1, s + 1)] for h, s in steps.items()
+        }
+        found = {
+            f"l_{h}": F.array(F.col(f"y_{h}"), *ahead[h])
+            if steps[h]
+            else F.array(f"y_{h}")
+            for h in horizons
+        }
+        return parts.withColumns(found)
+
+    moved = over_series(table, layout, labels)
+    bounds = {
+        "_first": kind.number(F.col("series_start")), "_last": kind.number(F.col("series_end")),
+        "_here": kind.number(F.col(kind.time)),
+    }
+    known = lambda h: F.filter(f"l_{h}", lambda y: y.isNotNull())
+    # Only the first row keeps all labels; the others predict the one ``h`` steps on, if any.
+    own = {
+        f"l_{h}": F.when(first, known(h)).otherwise(
+            F.array_compact(F.array(F.get(f"l_{h}", F.lit(s))))
+        )
+        for h, s in steps.items()
+    }
+    rows = moved.withColumns(own).select(
+        METER, kind.time, "series_start", "series_end", *names, *own
+    )
+    filled = P.impute(rows, names, kind.layout)
+    return stage_table(
+        filled.withColumns(bounds)
+        .withColumn("place", (F.col("_here") - F.col("_first")) / length)
+        .drop("_first", "_last", "_here"),
+        f"{kind.name}-shared",
+    )
+
+
+def horizon_samples(shared: DataFrame, horizon: int, names: list[str], params: Params) -> DataFrame:
+    """``y``, ``held_out`` and the features of one horizon's training rows.
+
+    Held out is the tail of every series: the last ``validation_share`` of its rows.
+    """
+    return shared.select(
+        (F.col("place") >= 1 - params.validation_share).alias("held_out"),
+        *names,
+        F.explode(f"l_{horizon}").alias("y"),
+    )
+
+
 def train_models(table: DataFrame, kind: Granularity, params: Params = DEFAULTS) -> Bundle:
-    """One classifier per horizon. Horizons with one class or no varying feature are left out."""
+    """One classifier per horizon. Horizons with one class or no varying feature are left out.
+
+    With a ``validation_share`` boosting is judged on the held-out tail of every series, round
+    by round, and stops early; the bundle keeps the losses. Without (0), or where either part has
+    one class, it runs all rounds on all rows.
+    """
     names = kind.feature_names(table, params)
+    shared = shared_rows(table, kind, params)
 
     def one(horizon: int):
-        shifted = _horizon_table(table, kind, horizon, names, params)
-        rows = stage_table(P.impute(shifted, names, kind.layout), f"{kind.name}-fit-{horizon}")
+        rows = horizon_samples(shared, horizon, names, params)
         if not _has_both_classes(rows):
-            return horizon, None, []
+            return horizon, None, [], []
         chosen = _varying(rows, names)
-        return horizon, _fit(rows, chosen, params) if chosen else None, chosen
+        if not chosen:
+            return horizon, None, [], []
+        held, seen = rows.where("held_out"), rows.where("NOT held_out")
+        judged = params.validation_share > 0 and _has_both_classes(held) and _has_both_classes(seen)
+        model = _fit(rows, chosen, params, "held_out" if judged else None)
+        return horizon, model, chosen, _losses(model, held, params) if judged else []
 
     bundle = Bundle(kind)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        for horizon, model, chosen in pool.map(one, kind.horizons(params)):
+        for horizon, model, chosen, losses in pool.map(one, kind.horizons(params)):
             if model is not None:
                 bundle.models[horizon] = model
                 bundle.features[horizon] = chosen
+                bundle.losses[horizon] = losses
     return bundle
 
 
+def _losses(model: PipelineModel, held: DataFrame, params: Params) -> list[float]:
+    """Loss on the held-out rows after each round of boosting, or of the finished model."""
+    weighted = P.class_weights(held, params)
+    classifier = model.stages[-1]
+    if isinstance(classifier, GBTClassificationModel):
+        return list(classifier.evaluateEachIteration(model.stages[0].transform(weighted)))
+    p = F.col("p")
+    right = F.greatest(F.when(F.col("y") == 1, p).otherwise(1 - p), F.lit(1e-15))
+    scored = probability(model, weighted, "p")
+    return [scored.agg(F.sum(-F.log(right) * F.col("weight")) / F.sum("weight")).first()[0]]
+
+
+def training_log(spark: SparkSession, bundle: Bundle) -> DataFrame:
+    """``<horizon>, model, n_features, round, loss``: a row for each round that was judged."""
+    rows = [
+        (h, type(m.stages[-1]).__name__, len(bundle.features[h]), i, loss)
+        for h, m in sorted(bundle.models.items())
+        for i, loss in enumerate(bundle.losses.get(h) or [None], 1)
+    ]
+    return spark.createDataFrame(
+        rows,
+        f"{bundle.granularity.horizon} int, model string, n_features int, round int, loss double",
+    )
+
+
 def probability(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     scored = model.transform(rows)
     return scored.withColumn(name, F.get(vector_to_array("probability"), 1)).drop(

@@ -135,6 +135,8 @@ class Params:
     max_depth: int = 6
     step_size: float = 0.05
     max_iter: int = 20
+    validation_share: float = 0.2  # held-out tail of every series; 0 trains on all rows
+    validation_tol: float = 0.01  # boosting stops when a round improves the held-out loss by less
     seed: int = 42
 
 
