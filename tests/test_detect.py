@@ -148,3 +148,44 @@ def test_latest_decision(hourly):
     row = D.latest_decision(d).first()
     assert (row["is_anomaly"], row["top_cause"], row["ratio"]) == (True, "Утечка", None)
     assert row["ts"].hour == 1
+
+
+def test_refits_over_many_days_equal_fresh_fits(spark, hourly):
+    """A window of three weeks that moves on by a day: equal to a fit from scratch each time."""
+    rng = np.random.default_rng(8)
+    n = 24 * 26
+    values = lambda: [None if rng.random() < 0.1 else float(rng.integers(-2, 30)) / 8 for _ in range(n)]
+    hours = stage(hourly("2024-03-04 00:00:00", xvs_m3=values(), gvs_m3=values(), weather=values()))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-03-04").cast("date"))
+    counts = stage(B.value_counts(hours.where(day < 21)))
+    for last in range(21, 24):
+        counts = stage(B.refit(counts, hours.where(day == last), hours.where(day == last - 21)))
+        window = hours.where((day > last - 21) & (day <= last))
+        fresh = B.value_counts(window)
+        assert counts.exceptAll(fresh).count() == fresh.exceptAll(counts).count() == 0
+    loose = replace(DEFAULTS, beta_min_points=2)
+    one = B.baseline_of_counts(counts, loose).orderBy("how").toPandas()
+    two = B.fit_baseline(window, loose).orderBy("how").toPandas()
+    assert (two["beta_delta_w"] != 0).any()
+    pd.testing.assert_frame_equal(one, two, rtol=1e-12)
+
+
+def test_hours_that_were_never_counted_cannot_leave(hourly):
+    hours = hourly(xvs_m3=[1.0, 2.0], gvs_m3=[1.0, 1.0])
+    with pytest.raises(Exception, match="never in it"):
+        B.refit(B.value_counts(hours), hours, hours.withColumn("xvs_m3", F.lit(9.0))).collect()
+
+
+def test_a_refit_reads_the_new_day_only(spark, hourly, tmp_path):
+    from tidemark.sources import sinks
+
+    path = str(tmp_path / "hours")
+    n = 24 * 5
+    sinks.write_days(hourly("2024-01-01 00:00:00", xvs_m3=[1.0] * n, gvs_m3=[0.5] * n), path)
+    new = sinks.read_days(spark, path).where("day = DATE'2024-01-05'")
+    counts = B.value_counts(sinks.read_days(spark, path).where("day < DATE'2024-01-05'"))
+    refitted = B.refit(stage(counts), new)
+    text = refitted._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 1 and "(day#" in scans[0].split("PartitionFilters")[1]
+    assert refitted.agg(F.sum("n")).first()[0] == n

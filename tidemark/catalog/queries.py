@@ -772,7 +772,13 @@ SLOTS = f"meter_id, how, {comma(*BASE_EXACT)}, {O.stable_cols(*BASE_ROUNDED)}"
 
 @query("baseline_fit", f"SELECT {SLOTS} FROM slots")
 def baseline_fit(spark, d):
-    return B.baseline_slots(train(spark, d)).select(
+    """Value counts of the training window without its newest day are stored; the refit reads
+    that day and adds it."""
+    rows = stage_table(train(spark, d), "train")
+    age = T.hour_number(F.col("series_end")) - T.hour_number(F.col("ts"))
+    newest = age < 24 * (DEFAULTS.test_days + 1)
+    counts = stage_table(B.value_counts(rows.where(~newest)), "baseline-counts")
+    return B.slots_of_counts(B.refit(counts, rows.where(newest))).select(
         METER, "how", *BASE_EXACT, *[stable(c) for c in BASE_ROUNDED]
     )
 

@@ -10,6 +10,8 @@ from tidemark.functions import time as T
 from tidemark.params import DEFAULTS, Params
 from tidemark.plans.series import METER
 
+#: What a baseline counts in each hour of the week.
+COUNTED = ("itp", "odpu", "weather")
 SERIES = {"itp": "itp", "odpu": "odpu", "delta": "delta", "ratio": "ratio"}
 STATISTICS = (
     *[f"mu_{s}" for s in SERIES],
@@ -24,12 +26,6 @@ STATISTICS = (
 )
 
 
-def mad_sigma(values: Column, center: Column, params: Params) -> Column:
-    """Scaled median absolute deviation of an array from ``center``, plus a floor."""
-    deviations = F.sort_array(F.transform(values, lambda v: F.abs(v - center)))
-    return N.quantile_of_sorted(deviations, 0.5) * params.mad_scale + params.sigma_floor
-
-
 def baseline_inputs(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Non-negative flows, their difference and ratio, and the hour of the week."""
     flows = train.select(
@@ -55,81 +51,110 @@ def baseline_inputs(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def weather_slope(pairs: Column, params: Params) -> Column:
-    """Least-squares slope through the origin of ``y`` on centred weather; 0 with few pairs."""
-    valid = F.filter(pairs, lambda p: p["y"].isNotNull() & p["wc"].isNotNull())
+def value_counts(hours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """How often each triple of flows and weather occurs in an hour of the week: all that a
+    baseline depends on. Counts of different days add up and can be taken back (:func:`refit`)."""
+    return baseline_inputs(hours, params).groupBy(METER, "how", *COUNTED).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def refit(
+    counts: DataFrame, add: DataFrame, drop: DataFrame | None = None, params: Params = DEFAULTS
+) -> DataFrame:
+    """The counts after the hours ``add`` came into the training window and ``drop`` left it.
+
+    Whole numbers only, so however many days have come and gone the counts are those of a fresh
+    fit. Taking back hours that were never counted is an error.
+    """
+    changes = value_counts(add, params)
+    if drop is not None:
+        gone = value_counts(drop, params)
+        changes = changes.unionByName(gone.withColumn("n", -F.col("n")))
+    total = counts.unionByName(changes).groupBy(METER, "how", *COUNTED).agg(F.sum("n").alias("n"))
+    unknown = F.raise_error(F.lit("hours leave the baseline that were never in it"))
+    checked = F.when(F.col("n") < 0, unknown.cast("bigint")).otherwise(F.col("n"))
+    return total.withColumn("n", checked).where("n > 0")
+
+
+def _flows(counts: DataFrame, params: Params) -> DataFrame:
+    """Difference and ratio of counted flows."""
+    return counts.withColumns(
+        {
+            "delta": F.col("itp") - F.col("odpu"),
+            "ratio": F.col("odpu") / N.at_least(F.col("itp"), params.eps),
+        }
+    )
+
+
+def _median(value: Column) -> Column:
+    """Exact median of counted values: NULLs do not count."""
+    return F.percentile(value, F.lit(0.5), F.col("n"))
+
 
-    def total(term) -> Column:
-        return F.aggregate(valid, F.lit(0.0), lambda acc, p: acc + term(p))
+def _sigma(median_deviation: Column, params: Params) -> Column:
+    return median_deviation * params.mad_scale + params.sigma_floor
 
-    denominator = total(lambda p: p["wc"] * p["wc"])
-    numerator = total(lambda p: p["wc"] * p["y"])
-    usable = (F.size(valid) >= params.beta_min_points) & (denominator > 0)
+
+def weather_slope(y: str, params: Params) -> Column:
+    """Least-squares slope through the origin of ``y`` on centred weather; 0 with few pairs."""
+    paired = F.col(y).isNotNull() & F.col("wc").isNotNull()
+    numerator = F.sum(F.col("wc") * F.col(y) * F.col("n"))
+    denominator = F.sum(F.when(paired, F.col("wc") * F.col("wc") * F.col("n")))
+    pairs = F.sum(F.when(paired, F.col("n")))
+    usable = (pairs >= params.beta_min_points) & (denominator > 0)
     return F.when(usable, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def baseline_slots(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Statistics of the hours of the week that the training window contains, and the meter's
-    overall deviations ``global_sigma_delta`` / ``global_sigma_ratio``.
+def slots_of_counts(counts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Statistics of the hours of the week that have counts, and the meter's overall deviations
+    ``global_sigma_delta`` / ``global_sigma_ratio``.
 
-    Groups are bounded by the training window: a meter has at most ``24 * train_days`` hours and
-    one hour of the week at most one hour per week of it. One shuffle by meter serves the overall
-    medians and the grouping alike.
+    Quantiles are taken from the counts by weight. Groups are bounded by the training window: a
+    meter has at most ``24 * train_days`` hours and one hour of the week at most one hour per week
+    of it. One shuffle by meter serves the overall medians and the slots alike.
     """
-    meter = Window.partitionBy(METER)
-    centred = baseline_inputs(train, params).select(
+    meter, slot = Window.partitionBy(METER), Window.partitionBy(METER, "how")
+    centred = _flows(counts, params).select(
         "*",
-        F.median("weather").over(meter).alias("_w_center"),
-        F.median("delta").over(meter).alias("_center_delta"),
-        F.median("ratio").over(meter).alias("_center_ratio"),
+        _median(F.col("weather")).over(meter).alias("_w_center"),
+        *[_median(F.col(s)).over(meter).alias(f"_center_{s}") for s in ("delta", "ratio")],
+        *[_median(F.col(s)).over(slot).alias(f"mu_{s}") for s in SERIES],
     )
-    centred = centred.select(
+    measured = centred.select(
         "*",
         (F.col("weather") - F.col("_w_center")).alias("wc"),
         *[
-            F.median(F.abs(F.col(s) - F.col(f"_center_{s}"))).over(meter).alias(f"_mad_{s}")
+            _median(F.abs(F.col(s) - F.col(f"_center_{s}"))).over(meter).alias(f"_mad_{s}")
             for s in ("delta", "ratio")
         ],
     )
-
-    def pairs(y: str) -> Column:
-        return F.collect_list(F.struct(F.col(y).alias("y"), F.col("wc").alias("wc")))
-
-    grouped = centred.groupBy(METER, "how").agg(
-        *[F.sort_array(F.collect_list(s)).alias(f"_{s}") for s in SERIES],
-        F.median("weather").alias("_w_med"),
-        F.count("wc").alias("_n_wc"),
-        pairs("delta").alias("_pairs_delta"),
-        pairs("ratio").alias("_pairs_ratio"),
-        *[F.first(f"_mad_{s}").alias(f"_mad_{s}") for s in ("delta", "ratio")],
-    )
-    medians = grouped.select(
-        "*",
-        *[N.quantile_of_sorted(F.col(f"_{s}"), 0.5).alias(f"mu_{s}") for s in SERIES],
-    )
-    return medians.select(
-        METER,
-        "how",
-        *[f"mu_{s}" for s in SERIES],
+    return measured.groupBy(METER, "how").agg(
+        *[F.first(f"mu_{s}").alias(f"mu_{s}") for s in SERIES],
         *[
-            mad_sigma(F.col(f"_{s}"), F.col(f"mu_{s}"), params).alias(f"sigma_{s}")
+            _sigma(_median(F.abs(F.col(s) - F.col(f"mu_{s}"))), params).alias(f"sigma_{s}")
             for s in SERIES
         ],
         *[
-            N.quantile_of_sorted(F.col(f"_{s}"), q).alias(f"{name}_{s}")
+            F.percentile(s, F.lit(q), F.col("n")).alias(f"{name}_{s}")
             for s in ("delta", "ratio")
             for name, q in (("p_low", params.q_low), ("p_high", params.q_high))
         ],
-        F.when(F.col("_n_wc") > 0, F.col("_w_med")).alias("w_med"),
-        weather_slope(F.col("_pairs_delta"), params).alias("beta_delta_w"),
-        weather_slope(F.col("_pairs_ratio"), params).alias("beta_ratio_w"),
+        _median(F.col("weather")).alias("w_med"),
+        weather_slope("delta", params).alias("beta_delta_w"),
+        weather_slope("ratio", params).alias("beta_ratio_w"),
         *[
-            (F.col(f"_mad_{s}") * params.mad_scale + params.sigma_floor).alias(f"global_sigma_{s}")
+            _sigma(F.first(f"_mad_{s}"), params).alias(f"global_sigma_{s}")
             for s in ("delta", "ratio")
         ],
     )
 
 
+def baseline_slots(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """:func:`slots_of_counts` of hours, each counted once."""
+    return slots_of_counts(baseline_inputs(train, params).withColumn("n", F.lit(1)), params)
+
+
 def fill_week(slots: DataFrame) -> DataFrame:
     """All 168 hours of the week; gaps take the previous hour's value, leading gaps the next."""
     # At most 168 slots per meter: they fit one row, which densifies without a join.
@@ -168,17 +193,23 @@ def fit_baseline(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return fill_week(baseline_slots(train, params))
 
 
+def baseline_of_counts(counts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The baseline of :func:`fit_baseline` from stored counts."""
+    return fill_week(slots_of_counts(counts, params))
+
+
 def global_sigma(train: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Overall deviations of a meter's difference and ratio in the training window."""
-    values = baseline_inputs(train, params).groupBy(METER).agg(
-        *[F.sort_array(F.collect_list(s)).alias(s) for s in ("delta", "ratio")]
+    meter = Window.partitionBy(METER)
+    hours = baseline_inputs(train, params).withColumn("n", F.lit(1))
+    centred = hours.select(
+        "*", *[_median(F.col(s)).over(meter).alias(f"_center_{s}") for s in ("delta", "ratio")]
     )
-    return values.select(
-        METER,
+    return centred.groupBy(METER).agg(
         *[
-            mad_sigma(F.col(s), N.quantile_of_sorted(F.col(s), 0.5), params).alias(
+            _sigma(_median(F.abs(F.col(s) - F.col(f"_center_{s}"))), params).alias(
                 f"global_sigma_{s}"
             )
             for s in ("delta", "ratio")
-        ],
+        ]
     )
