@@ -18,21 +18,23 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_top_k(rows, k, every):
-    """``rows``: (id, vector)."""
-    good = {}
-    for key, v in rows:
-        if key is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        good[key] = min(good.get(key, v), v)
-    whole = {key: [math.floor(256 * float(x)) for x in v] for key, v in good.items()}
-    out = set()
-    for q, a in whole.items():
+    """``rows``: (id, vector); ids may repeat with other vectors."""
+    whole = {
+        (key, tuple(math.floor(256 * float(x)) for x in v))
+        for key, v in rows
+        if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    }
+    best = {}
+    for q, a in whole:
         if q % every == 0:
-            scored = sorted(
-                (-sum(x * y for x, y in zip(a, b)), key)
-                for key, b in whole.items() if key != q and len(a) == len(b)
-            )
-            out |= {(q, i + 1, key, -s) for i, (s, key) in enumerate(scored[:k])}
+            own = best.setdefault(q, {})
+            for key, b in whole:
+                if key != q and len(a) == len(b):
+                    own[key] = max(own.get(key, -math.inf), sum(x * y for x, y in zip(a, b)))
+    out = set()
+    for q, scores in best.items():
+        ranked = sorted((-s, key) for key, s in scores.items())[:k]
+        out |= {(q, i, key, -s) for i, (s, key) in enumerate(ranked, 1)}
     return out
 
 
@@ -46,6 +48,9 @@ def test_top_k(spark, monkeypatch, block):
     rows += [(400 + i, [half() for _ in range(3)]) for i in range(4)]  # fewer than k
     rows += [(410, [0.0] * 6), (420, [float("nan")] * 6), (430, None), (440, [None] * 6)]
     rows += [(450, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (0, rows[0][1]), (1, [9.0] * 6)]
+    # Ids with many vectors, better and worse than those they had, as candidates and as queries.
+    rows += [(i % 30, [half() * 2 for _ in range(6)]) for i in range(200)]
+    rows += [(77, [half() for _ in range(6)]) for _ in range(100)]
     df = spark.createDataFrame(
         [(*r, 1, "x") for r in rows], "vec_id bigint, embedding array<float>, score int, id string"
     )

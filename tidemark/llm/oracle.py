@@ -70,17 +70,17 @@ FROM placed
 
 SQL["op4_top_k"] = r"""
 WITH v AS (
-    SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS e
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    GROUP BY vec_id
 ), scored AS (
     SELECT q.vec_id AS query_id, v.vec_id,
-           coalesce(list_sum(list_transform(
-               generate_series(1, len(q.e)), lambda i: q.e[i] * v.e[i])), 0)::BIGINT AS score
+           max(coalesce(list_sum(list_transform(
+               generate_series(1, len(q.e)), lambda i: q.e[i] * v.e[i])), 0))::BIGINT AS score
     FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
     WHERE q.vec_id % 50 = 0
+    GROUP BY q.vec_id, v.vec_id
 )
 SELECT query_id,
        (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
