@@ -165,3 +165,32 @@ def test_incident_boundaries(hourly):
     assert sorted(r["hours"] for r in I.incidents(gap).collect()) == [4, 4]
     none = I.incidents(decisions(hourly, [True] * 3, ["leak"] * 3))
     assert none.count() == 0 and tuple(none.columns) == I.INCIDENT_COLUMNS
+
+
+@pytest.mark.parametrize("layout", SIZES, ids=lambda v: str(v.size))
+@pytest.mark.parametrize("n_splits", [1, 3, 7])
+def test_folds_filled_once_equal_folds_filled_one_by_one(hourly, layout, n_splits):
+    """Gaps at the start of the series, of blocks, and over whole blocks."""
+    rng = np.random.default_rng(n_splits)
+    s = random_series(n_splits, missing=0.7)
+    s[:130] = np.nan
+    t = random_series(n_splits + 9, missing=0.2)
+    for at in rng.integers(0, 240, 4):
+        t[at : at + 45] = np.nan
+    t[3] = np.inf
+    df = hourly(a=as_list(s), b=as_list(t), c=[None] * 239 + [1.0])
+    folds = P.Folds(n_splits, min_train_days=2)
+    copied = P.expanding_splits(df, n_splits, 2)
+    expected = P.impute(copied, ["a", "b", "c"], layout, group=("fold", "role"))
+    got = P.impute_folds(df, ["a", "b", "c"], folds, layout).select(*expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert got.count() > 200
+
+
+def test_rows_shuffled_for_folds_do_not_depend_on_their_number(hourly):
+    """The explode into folds comes after the last exchange of hours."""
+    df = hourly(a=[1.0, None] * 200)
+    text = P.impute_folds(df, ["a"], P.Folds(9, 0))._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    explode = next(i for i, line in enumerate(lines) if "Generate explode(_folds" in line)
+    assert not any("Exchange" in line for line in lines[:explode])

@@ -1091,8 +1091,8 @@ _GROUP = "PARTITION BY meter_id, fold, role ORDER BY ts ROWS BETWEEN"
 )
 def ffill_bfill_impute(spark, d):
     hours = X.flow_features(E.hourly_grid(spark, d))
-    folds = P.expanding_splits(hours).select(*KEYS, "fold", "role", *IMPUTED)
-    return P.impute(folds, IMPUTED, group=("fold", "role"))
+    rows = hours.select(*KEYS, "series_start", "series_end", *IMPUTED)
+    return P.impute_folds(rows, IMPUTED).select(*KEYS, "fold", "role", *IMPUTED)
 
 
 @query("expanding_splits", "SELECT meter_id, ts, fold, role FROM splits_h")

@@ -298,10 +298,8 @@ def backtest(table: DataFrame, kind: Granularity, params: Params = DEFAULTS) ->
 
     def fold_rows(horizon: int) -> DataFrame:
         shifted = _horizon_table(table, kind, horizon, names, params)
-        folds = P.expanding_splits(
-            shifted, params.n_splits, kind.min_train_days(params), kind.unit
-        )
-        filled = P.impute(folds, names, kind.layout, group=("fold", "role"))
+        folds = P.Folds(params.n_splits, kind.min_train_days(params), kind.unit)
+        filled = P.impute_folds(shifted, names, folds, kind.layout)
         return stage_table(filled, f"{kind.name}-folds-{horizon}")
 
     def score(rows: DataFrame, fold: int) -> DataFrame | None:

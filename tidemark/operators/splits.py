@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import time as T
@@ -11,48 +13,96 @@ from tidemark.params import DEFAULTS, Params
 from tidemark.plans.series import HOURLY, Layout, last_seen, over_series
 
 
+@dataclass(frozen=True)
+class Folds:
+    """Expanding folds of a gap-free series as arithmetic on the row number.
+
+    With ``k`` folds the test blocks are the last ``k`` blocks of ``n // (k + 1)`` rows and each
+    trains on everything before it. Folds that train on too short a span are left out and the
+    others renumbered.
+    """
+
+    n_splits: int = DEFAULTS.n_splits
+    min_train_days: int = DEFAULTS.min_train_days
+    unit: str = "hour"
+
+    def _positions(self) -> tuple[Column, Column, Column]:
+        """Row number from 0, rows of the series, rows of a test block."""
+        if self.unit == "day":
+            start, end = (T.day_number(T.day_of(F.col(c))) for c in ("series_start", "series_end"))
+            here = T.day_number(F.col("day"))
+        else:
+            start, end = (T.hour_number(F.col(c)) for c in ("series_start", "series_end"))
+            here = T.hour_number(F.col("ts"))
+        total = end - start + 1
+        return here - start, total, F.floor(total / (self.n_splits + 1))
+
+    def row(self) -> Column:
+        return self._positions()[0]
+
+    def block(self) -> Column:
+        """The test block a row lies in, from 1; 0 before the first. Blocks do not overlap."""
+        row, total, size = self._positions()
+        into = row - (total - self.n_splits * size)
+        return F.when((into >= 0) & (size > 0), F.floor(into / size) + 1).otherwise(F.lit(0)).cast("int")
+
+    def memberships(self) -> Column:
+        """Array of ``fold, role, first_test``: the folds a row takes part in, and the number of
+        the row that ends their training."""
+        row, total, size = self._positions()
+        per_day = 1 if self.unit == "day" else 24
+        found = []
+        skipped = F.lit(0)
+        for i in range(self.n_splits):
+            first_test = total - (self.n_splits - i) * size
+            long_enough = F.floor((first_test - 1) / per_day) + 1 >= self.min_train_days
+            role = F.when(row < first_test, "train").when(row < first_test + size, "test")
+            usable = long_enough & (size > 0) & role.isNotNull()
+            fold = (F.lit(i) - skipped).cast("int")
+            found.append(
+                F.when(
+                    usable,
+                    F.struct(fold.alias("fold"), role.alias("role"), first_test.alias("first_test")),
+                )
+            )
+            skipped = skipped + (~long_enough).cast("int")
+        return F.array_compact(F.array(*found))
+
+
 def expanding_splits(
     df: DataFrame,
     n_splits: int = DEFAULTS.n_splits,
     min_train_days: int = DEFAULTS.min_train_days,
     unit: str = "hour",
 ) -> DataFrame:
-    """One copy of a row per fold it takes part in, with ``fold`` and ``role``.
+    """One copy of a row per fold it takes part in, with ``fold`` and ``role`` (:class:`Folds`).
 
-    With ``k`` folds the test blocks are the last ``k`` blocks of ``n // (k + 1)`` rows and each
-    trains on everything before it. Folds that train on too short a span are left out and the
-    others renumbered. Row numbers follow from the series bounds, so the split is a narrow
-    ``explode``: no window, no shuffle.
+    Row numbers follow from the series bounds, so the split is a narrow ``explode``: no window,
+    no shuffle.
     """
     df = with_series_bounds(df)
-    if unit == "day":
-        start, end = (T.day_number(T.day_of(F.col(c))) for c in ("series_start", "series_end"))
-        here = T.day_number(F.col("day"))
-        per_day = 1
-    else:
-        start, end = (T.hour_number(F.col(c)) for c in ("series_start", "series_end"))
-        here = T.hour_number(F.col("ts"))
-        per_day = 24
-    total = end - start + 1
-    block = F.floor(total / (n_splits + 1))
-    row = here - start
-
-    roles = []
-    skipped = F.lit(0)
-    for i in range(n_splits):
-        first_test = total - (n_splits - i) * block
-        long_enough = F.floor((first_test - 1) / per_day) + 1 >= min_train_days
-        role = F.when(row < first_test, "train").when(row < first_test + block, "test")
-        usable = long_enough & (block > 0) & role.isNotNull()
-        roles.append(
-            F.when(usable, F.struct((F.lit(i) - skipped).cast("int").alias("fold"), role.alias("role")))
-        )
-        skipped = skipped + (~long_enough).cast("int")
-    return df.select("*", F.explode(F.array_compact(F.array(*roles))).alias("_f")).select(
+    folds = Folds(n_splits, min_train_days, unit)
+    return df.select("*", F.explode(folds.memberships()).alias("_f")).select(
         *df.columns, "_f.fold", "_f.role"
     )
 
 
+def _numbers(df: DataFrame, features: list[str], *more: str) -> DataFrame:
+    """Features as doubles, infinite ones missing; the other columns and ``more`` as they are."""
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    infinite = "double('infinity')"
+    return df.selectExpr(
+        *[c for c in df.columns if c not in features],
+        *[
+            f"IF(isnan({c}) OR abs({c}) = {infinite}, NULL, {c}) AS {c}"
+            if c in floating
+            else f"CAST(CAST({c} AS INT) AS DOUBLE) AS {c}"
+            for c in features
+        ],
+        *more,
+    )
+
+
 def impute(
     df: DataFrame,
     features: list[str],
@@ -63,25 +113,14 @@ def impute(
 ) -> DataFrame:
     """Fill gaps forward, then (for leading gaps) backward, then with 0.
 
-    ``group`` keeps folds and roles apart. A leading gap only ever sees the first known value of
+    ``group`` keeps groups of rows apart. A leading gap only ever sees the first known value of
     its group, so the backward fill is an aggregate, not a second pass.
     """
-    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
-    infinite = "double('infinity')"
 
     def body(parts: DataFrame) -> DataFrame:
         rest = [c for c in parts.columns if c not in features]
-        numbers = parts.selectExpr(
-            *rest,
-            *[
-                f"IF(isnan({c}) OR abs({c}) = {infinite}, NULL, {c}) AS {c}"
-                if c in floating
-                else f"CAST(CAST({c} AS INT) AS DOUBLE) AS {c}"
-                for c in features
-            ],
-        )
         seen = last_seen(
-            numbers,
+            _numbers(parts, features),
             {c: c for c in features},
             layout,
             group=group,
@@ -95,6 +134,56 @@ def impute(
     return over_series(df, layout, body)
 
 
+def impute_folds(
+    df: DataFrame, features: list[str], folds: Folds = Folds(), layout: Layout = HOURLY
+) -> DataFrame:
+    """``expanding_splits`` filled like :func:`impute` inside each fold and role.
+
+    No row is copied before it is filled, so what is shuffled does not depend on the number of
+    folds. A row is filled twice: as a test row inside its block, the only one it lies in, and as
+    a training row over the whole series, with the number of the row that each value comes from.
+    A fold's training then only has to know whether the first known value lies before its border.
+    The copies are made at the end, by a narrow ``explode``.
+    """
+    df = with_series_bounds(df)
+    own = [c for c in df.columns if c not in features]
+
+    def body(parts: DataFrame) -> DataFrame:
+        located = parts.withColumns(
+            {"_row": folds.row(), "_block": folds.block(), "_folds": folds.memberships()}
+        )
+        known = _numbers(located, features).selectExpr(
+            "*", *[f"IF({c} IS NULL, NULL, struct(_row AS at, {c} AS v)) AS _k_{c}" for c in features]
+        )
+        series = last_seen(
+            known,
+            {f"_k_{c}": f"_k_{c}" for c in features},
+            layout,
+            first_of_group={f"_s_{c}": f"_k_{c}" for c in features},
+        )
+        both = last_seen(
+            series,
+            {c: c for c in features},
+            layout,
+            group=("_block",),
+            first_of_group={f"_b_{c}": c for c in features},
+        )
+        kept = [c for c in parts.columns if c not in features]
+        exploded = both.select(*both.columns, F.explode("_folds").alias("_f"))
+        return exploded.selectExpr(
+            *kept,
+            "_f.fold AS fold",
+            "_f.role AS role",
+            *[
+                f"coalesce(IF(_f.role = 'test', coalesce({c}, _b_{c}), "
+                f"coalesce(_k_{c}.v, IF(_s_{c}.at < _f.first_test, _s_{c}.v, NULL))), 0.0D) AS {c}"
+                for c in features
+            ],
+        )
+
+    return over_series(df, layout, body).select(*own, "fold", "role", *features)
+
+
 def varying_features(df: DataFrame, features: list[str]) -> DataFrame:
     """One row per feature that takes more than one value; a single pass over all columns."""
     ranges = df.agg(
