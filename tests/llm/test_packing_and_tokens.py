@@ -151,6 +151,19 @@ def test_token_files_order_ties_and_missing_ids(spark, odd_documents, ids):
     assert len(tokens.read_document(spark, path, 5)) == 3
 
 
+@pytest.mark.parametrize("named", [0, 300])
+def test_token_files_split_rows_without_id(spark, documents, ids, named):
+    """As many files as for rows with ids, and about as large; rows without id ordered by text."""
+    texts = [f"{chr(97 + i % 26)}{i} é word" for i in range(600)] + ["", None, "a", "a"]
+    rows = [(i if i < named else None, t, "en", "s", 1) for i, t in enumerate(texts)]
+    path = written(spark, documents(rows), files=6)
+    sizes = [r["docs"] for r in tokens._manifest(spark, path).collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * len(rows) / 6
+    got = sorted(tokens.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    assert [(r.doc_id, bytes(r.ids)) for r in got] == [(r[0], ids(r[1]).tobytes()) for r in order]
+
+
 def test_token_files_refuse_another_dictionary(spark, documents, rows):
     path = written(spark, documents(rows), files=1)
     name = tokens._manifest(spark, path).first()["name"]

@@ -84,6 +84,24 @@ def _dictionary(data: bytes) -> zstd.ZstdCompressionDict | None:
     return zstd.ZstdCompressionDict(data) if data else None
 
 
+def _in_ranges(source: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Add ``part``, the number of a row's file, and how many there are: ranges by id, and after
+    them ranges by the start of the text for as large a share of rows as have no id."""
+    total, named = source.agg(F.count(F.lit(1)), F.count("id")).first()
+    unnamed = -(-n * (total - named) // total) if total else 0
+    cuts = id_ranges(source, "id", max(1, n - unnamed))
+    part = range_of("id", cuts)
+    if not unnamed:
+        return source.withColumn("part", part), len(cuts) + 1
+    # The first seven bytes as a number sort like the text; a null text is first.
+    head = F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0")
+    placed = source.withColumn("place", F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1)))
+    more = id_ranges(placed.where("id IS NULL"), "place", unnamed)
+    last = F.lit(len(cuts) + 1) + range_of("place", more)
+    part = F.when(F.col("id").isNull(), last).otherwise(part)
+    return placed.withColumn("part", part), len(cuts) + 2 + len(more)
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -96,8 +114,8 @@ def write_token_files(
     """Encode whole texts, end each with the end id, and write them in ascending order of id.
 
     Null texts count as empty. Rows of the same id follow each other in order of their text;
-    rows without id come last. Other columns are not read. An empty table gives a dataset
-    without files.
+    rows without id come last, in order of their text, in files of their own. Other columns are
+    not read. An empty table gives a dataset without files.
     """
 
     n = files or partitions(docs)
@@ -107,10 +125,9 @@ def write_token_files(
     store.create_dir(f"{root}/files", recursive=True)
     with store.open_output_stream(f"{root}/dictionary.zdict") as out:
         out.write(dictionary)
-    cuts = id_ranges(source, "id", n)
+    parted, parts = _in_ranges(source, n)
     ordered = (
-        source.withColumn("part", range_of("id", cuts))
-        .repartitionById(len(cuts) + 1, F.col("part"))
+        parted.repartitionById(parts, F.col("part"))
         .sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
     )
 
