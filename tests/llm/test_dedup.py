@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -82,13 +83,85 @@ def test_suffixes_in_parts(documents, monkeypatch):
     rows = [(1, text, "", "", 0), (2, text[700:2500] + "x" * 400, "", "", 0)]
     monkeypatch.setattr(suffixes, "PART", 256)
     found = [x for part in suffixes.entries([r[1].encode() for r in rows], 100) for x in zip(*part)]
-    covered = sorted((d, s + i) for d, s, n, _, _ in found for i in range(n))
+    covered = sorted((d, s + i) for d, s, n, *_ in found for i in range(n))
     assert covered == [(d, i) for d in (0, 1) for i in range(len(rows[d][1]) - 99)]
     got = {r.doc_id: r.n_removed for r in suffixes.drop_earlier_passages(documents(rows)).collect()}
     want = {k: v[1] for k, v in brute.suffixes([r[:2] for r in rows]).items()}
     assert got == want
 
 
+def overlapping_texts(seed):
+    """Texts with chance, periodic and cut repeats, zero bytes and two-byte letters."""
+    rng = random.Random(seed)
+    shared = ["".join(rng.choice("ab\0é ") for _ in range(240)) for _ in range(4)]
+    out = []
+    for i in range(60):
+        parts = ["".join(rng.choice("abc\0é") for _ in range(rng.randint(0, 40)))]
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randint(0, 200)
+            parts.append(rng.choice(shared)[a : a + rng.randint(20, 160)])
+            parts.append("ab" * rng.randint(0, 70) if i % 5 == 0 else rng.choice("xyz\0"))
+        out.append((i * 7 % 61, "".join(parts)))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "lot", "hot", "batches"), [(1, 16, 1 << 20, 5), (2, 64, 3, 3), (3, 1 << 14, 1024, 1)])
+def test_suffix_scan_against_brute_force(spark, monkeypatch, seed, lot, hot, batches):
+    """Small lots, frequent beginnings compared by windows, several batches."""
+    monkeypatch.setattr(suffixes, "LOT", lot)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    texts = overlapping_texts(seed)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = suffixes.drop_earlier_passages(docs, batches=batches).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
+    assert found == brute.suffixes(texts)
+
+
+def test_batch_added_to_a_stored_family(spark):
+    """A second family takes over stored arrays; a batch that comes later meets what they hold."""
+    texts = sorted(overlapping_texts(4))
+    want = {k: v[1] for k, v in brute.suffixes(texts).items()}
+    stored, found = [], {}
+    for first in range(0, 60, 15):
+        batch = texts[first : first + 15]
+        docs = spark.createDataFrame(
+            [(False, k, 0, x) for k, x in batch], "late boolean, k bigint, t int, text string"
+        )
+        family = suffixes.IndexFamily(100, stored)
+        gone = {k: np.zeros(len(x.encode()), bool) for k, x in batch}
+        for r in family.add(docs).collect():
+            gone[r.k][r.start : r.start + r.n + 99] = True
+        found |= {k: int(g.sum()) for k, g in gone.items()}
+        stored = family.levels
+    assert found == want
+    assert [generation for generation, _ in stored] == [2]
+    rows = [bytes(r.suffix) for r in stored[0][1].collect()]
+    assert len(rows) > 100
+
+
+def test_classes_of_a_suffix_array():
+    """Every window against every other, without Spark."""
+    texts = [x.encode() for _, x in overlapping_texts(5)]
+    document, start, n, _, _, before = (
+        np.concatenate(x) for x in zip(*suffixes.entries(texts, 100))
+    )
+    rows = []
+    for d, a, m, b in zip(document, start, n, before):
+        right, left = texts[d][a + b : a + m + 99], texts[d][a : a + b][::-1]
+        rows.append((right, left, False, int(d), 0, int(a), int(m), int(b)))
+    rows.sort()
+    table = pa.table(dict(zip(["suffix", "left", *suffixes.PLACE], map(list, zip(*rows)))))
+    seen = suffixes.seen_earlier(table, 100)
+    got = {(r[3], r[5] + r[7] - int(s)) for r, flags in zip(rows, seen) for s in np.flatnonzero(flags)}
+    known, want = set(), set()
+    for d, text in enumerate(texts):
+        for a in range(len(text) - 99):
+            x = text[a : a + 100]
+            want |= {(d, a)} if x in known else set()
+            known.add(x)
+    assert got == want and len(want) > 50
+
+
 def test_suffixes_odd_rows(odd_documents):
     got = suffixes.drop_earlier_passages(odd_documents)
     assert got.count() == 9 and got.columns.count("kept") == 1
