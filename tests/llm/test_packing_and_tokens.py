@@ -107,6 +107,24 @@ def test_all_limits_hold_for_examples_with_loss(spark, limits):
     check_pieces(pieces, whole, limits)
 
 
+def test_many_short_examples_leave_no_padding():
+    """The pool grows until it can fill a sequence; only the limits that were given close one."""
+    packer = packing.Packer(packing.Limits())
+    pieces = [p for i in range(3000) for p in packer.add(i, np.arange(3, dtype="<u4"), None)]
+    pieces += packer.finish()
+    length = {}
+    for p in pieces:
+        length[p.sequence] = length.get(p.sequence, 0) + len(p.ids)
+    assert sum(length.values()) == 9000
+    assert all(n == 2048 or n & (n - 1) == 0 for n in length.values())
+    limits = packing.Limits(segments=100)
+    packer = packing.Packer(limits)
+    pieces = [p for i in range(3000) for p in packer.add(i, np.arange(3, dtype="<u4"), None)]
+    pieces += packer.finish()
+    counts = np.bincount([p.sequence for p in pieces])
+    assert counts.max() == 100 and sum(len(p.ids) for p in pieces) == 9000
+
+
 def test_examples_without_ids_or_key(spark):
     df = spark.createDataFrame(
         [(None, b"\1\0\0\0"), (1, None), (1, b""), (2, b"\2\0\0\0" * 3), (2, b"\2\0\0\0" * 3)],

@@ -25,10 +25,14 @@ ROWS = 2048
 
 @dataclass(frozen=True)
 class Limits:
-    """Per sequence; ``pool`` is how many examples a task chooses from."""
+    """Per sequence; ``pool`` is how many examples a task chooses from.
+
+    The pool grows while its examples could not fill a sequence. By default the segments are no
+    limit of their own, as a segment has at least one token.
+    """
 
     tokens: int = 2048
-    segments: int = 512
+    segments: int = 2048
     loss: int = 2048
     pool: int = 512
 
@@ -81,9 +85,27 @@ class Packer:
             self.sequence += 1
         if item.start < len(ids):
             while not self.free:
-                yield from self._close(self._fill())
+                if self._short():
+                    self._grow()
+                else:
+                    yield from self._close(self._fill())
             self._put(item)
 
+    def _short(self) -> bool:
+        """Whether a sequence could take the whole pool and more."""
+        return (
+            len(self.items) < self.limits.segments
+            and self.tokens.sum() < self.limits.tokens
+            and self.loss.sum() < self.limits.loss
+        )
+
+    def _grow(self) -> None:
+        n = len(self.items)
+        self.items += [None] * n
+        self.free += range(2 * n - 1, n - 1, -1)
+        self.tokens = np.append(self.tokens, np.zeros(n, np.int64))
+        self.loss = np.append(self.loss, np.zeros(n, np.int64))
+
     def finish(self) -> Iterator[Piece]:
         while len(self.free) < len(self.items):
             pieces = self._fill()
@@ -116,7 +138,7 @@ class Packer:
         item = self.items[slot]
         self.items[slot] = None
         self.free.append(slot)
-        self.tokens[slot] = 0
+        self.tokens[slot] = self.loss[slot] = 0
         return item
 
     def _piece(self, item: Item, n: int, offset: int) -> Piece:
