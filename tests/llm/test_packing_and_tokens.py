@@ -40,6 +40,27 @@ def test_words_give_the_ids_of_whole_texts(ids):
     assert got == [ids(t)[:-1].tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_string_and_any_tokenizer(name):
+    """Punctuation, apostrophes, digits, marks, special tokens; white space that counts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole, own = Tokenizer.from_file(path), WordEncoder(path)
+    assert own.apart == name.startswith("word")
+    rng = random.Random(3)
+    parts = [
+        *"abcdeXYZ019 ,.;:!?'\"$%&*#()-_<|>\n\t", "  ", "'s", "'re", "don't", "é", "e\u0301", "日本",
+        "\u00a0", "\u3000", "ß", "İ", "<|startoftext|>", "<|endoftext|>", "word ", "Word,", "end.\n",
+        "''", "...", "!!! ", "x'. ", "</w>", "a\u0301, ", "中, ",
+    ]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["a" * 5000, "ab," * 2000, "</w> a</w> </w>."]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode([t.encode() for t in texts]) == want
+
+
 @pytest.mark.parametrize("limit", [2, 5, 9])
 def test_a_small_cache_keeps_the_words_of_a_lot(ids, monkeypatch, limit):
     monkeypatch.setattr(encoding, "CACHED_WORDS", limit)
