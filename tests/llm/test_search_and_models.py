@@ -1,12 +1,15 @@
 """Top-k search, fingerprints, language identification and mixing against brute force."""
 
+import base64
 import math
 import random
+import struct
 import zlib
 from decimal import Decimal
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -111,14 +114,70 @@ def test_fingerprints_odd_rows(odd_documents):
     assert fingerprints.edit_fingerprints(odd_documents.limit(0)).count() == 0
 
 
+def peeled_apart(print_):
+    """Digests held by a fingerprint, one cell after the other, without the library."""
+    size, data = print_.split(".")
+    table = [[n % 256, k, c] for n, k, c in struct.iter_unpack("<bQQ", base64.b64decode(data))]
+    found, third, mod = [], len(table) // 3, 1 << 64
+
+    def scrambled(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % mod
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % mod
+        return x ^ x >> 31
+
+    while True:
+        alone = [
+            k for n, k, c in table if n == 1 and scrambled(k ^ 0x5851F42D4C957F2D) == c
+        ]
+        if not alone:
+            break
+        key = alone[0]
+        found.append(key)
+        for j in range(3):
+            cell = scrambled((key + (j + 1) * 0xD1342543DE82EF95) % mod) % third + j * third
+            n, k, c = table[cell]
+            table[cell] = [
+                (n - 1) % 256, (k - key) % mod, (c - scrambled(key ^ 0x5851F42D4C957F2D)) % mod
+            ]
+    assert not any(map(any, table)) and len(found) == int(size, 16)
+    return set(found)
+
+
+def test_likeness_follows_from_the_fingerprints_alone(spark, documents, rows):
+    """Both columns from the strings, with a peeling and with cuts of the test's own."""
+    got = fingerprints.edit_fingerprints(documents(rows)).collect()
+    got.sort(key=lambda r: -r.id)
+    texts = {key: text or "" for key, text, *_ in rows}
+    held = [peeled_apart(r.fingerprint) for r in got]
+    for i, r in enumerate(got):
+        after = (i + 1) % len(got)
+        for other, near in (
+            (peeled_apart(r.edited_fingerprint), r.near_edited), (held[after], r.near_next)
+        ):
+            size = len(held[i]) + len(other)
+            assert near == (2 * len(held[i] & other) / size if size else 1)
+        assert fingerprints.likeness(r.fingerprint, got[after].fingerprint) == r.near_next
+        text, pieces, start = texts[r.id].encode(), [], 0
+        for end in range(1, len(text) + 1):
+            last = int.from_bytes(text[end - 8 : end], "little") if end > 7 else None
+            if last is not None:
+                last = (last ^ last >> 32) * 0x9E3779B97F4A7C15 % (1 << 64) >> 58
+            if last == 0 or text[end - 1] == 10 or end == len(text):
+                pieces.append(text[start:end])
+                start = end
+        assert {xxhash.xxh3_64_intdigest(p) for p in pieces} <= held[i]
+        assert len(pieces) == len(held[i])
+
+
 def test_paragraphs_need_no_spaces():
     rng = random.Random(5)
     for letters in ("abcdefghij", "abcdefg\t", "abcdefg\r", "日本語文字列", "abcd\u3000ef"):
-        text = "".join(rng.choices(letters, k=4000))
-        other = "".join(rng.choices(letters, k=4000))
+        text = "".join(rng.choices(letters, k=16000))
+        other = "".join(rng.choices(letters, k=16000))
         texts = (text.encode(), fingerprints.edited(text, other).encode())
-        own, changed = map(fingerprints.paragraph_digests, texts)
-        assert len(own) > 100 and 0.4 < fingerprints.likeness([(own, changed)])[0] < 0.7
+        digests = [fingerprints.paragraph_digests(x) for x in texts]
+        near = fingerprints.likeness(*fingerprints.fingerprints(digests))
+        assert len(digests[0]) > 100 and 0.4 < near < 0.7
 
 
 @pytest.mark.parametrize("files", [1, 4])
@@ -147,15 +206,27 @@ def test_fingerprints_of_rows_without_id_come_last(spark, files):
 def test_sketches_recover_differences():
     rng = random.Random(4)
     pairs = []
-    for _ in range(200):
-        both = [rng.getrandbits(64) for _ in range(rng.choice([0, 5, 400]))]
+    for _ in range(300):
+        both = [rng.getrandbits(64) for _ in range(rng.choice([0, 5, 400, 3000]))]
         a, b = ([rng.getrandbits(64) for _ in range(rng.choice([0, 1, 7, 300]))] for _ in "ab")
         pairs.append(tuple(np.array(sorted(both + x), np.uint64) for x in (a, b)))
-    for (a, b), near in zip(pairs, fingerprints.likeness(pairs)):
+    prints = fingerprints.fingerprints([x for pair in pairs for x in pair])
+    at = np.arange(len(pairs)) * 2
+    for (a, b), near in zip(pairs, fingerprints.likenesses(prints, at, at + 1)):
         shared = len(set(a.tolist()) & set(b.tolist()))
         assert near == (2 * shared / (len(a) + len(b)) if len(a) + len(b) else 1)
 
 
+def test_few_differences_need_no_larger_sketch(monkeypatch):
+    """Versions of a text are told apart by subtraction alone, whatever their length."""
+    rng = random.Random(8)
+    same = [rng.getrandbits(64) for _ in range(5000)]
+    a, b = (np.array(sorted(same + [rng.getrandbits(64) for _ in range(n)]), np.uint64) for n in (3, 40))
+    prints = fingerprints.fingerprints([a, b])
+    monkeypatch.setattr(fingerprints, "_filled", None)
+    assert fingerprints.likeness(*prints) == 10000 / 10043
+
+
 def segmentations(word, pieces):
     if not word:
         yield []

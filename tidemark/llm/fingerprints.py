@@ -1,10 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text is cut at line feeds and, by a rule on the last four bytes, after one byte in sixteen or
-so, whatever the bytes are, so that a long line is several paragraphs with or without spaces and
-a cut depends on nothing further away. Each paragraph's digest is added to three cells of a sketch. Subtracting two sketches leaves the
-digests that differ, and peeling cells of one digest recovers them; where that fails, larger
-sketches of the two texts are built.
+A text is cut at line feeds and, by a rule on the last eight bytes, after one byte in 64 or so,
+whatever the bytes are, so that a long line is several paragraphs with or without spaces and a cut
+depends on nothing further away. Each paragraph's digest is added to three cells of a sketch, whose
+size follows the number of paragraphs and grows until all of them can be recovered from it.
+
+Likeness needs the two fingerprints alone. They are folded to a common size and subtracted, and
+peeling cells of one digest recovers those that differ. Where that fails, the digests recovered
+from each fingerprint fill larger sketches, which are subtracted and peeled in turn.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, fresh, id_ranges, mixed, partitions, quoted, range_of, slices
 
-#: Cells of the sketch that is the fingerprint; a multiple of three.
-CELLS = 12
-GROWTH = 4
-#: Cells that are peeled at a time.
-BATCH_CELLS = 1 << 19
 PAIR_BYTES = 2 << 20
 CHECK = U64(0x5851F42D4C957F2D)
-#: A cut follows four bytes whose hash has so many leading zero bits.
-CUT_BITS = 4
+#: A cut follows eight bytes whose hash has so many leading zero bits.
+CUT_BITS = 6
+CUT_FACTOR = U64(0x9E3779B97F4A7C15)
 CELL_SEEDS = np.arange(1, 4, dtype=U64) * U64(0xD1342543DE82EF95)
+#: Cells for each paragraph and for each sketch, at first.
+ROOM = 1.4
+LEAST = 6
+#: A cell as it is stored; counts are kept modulo 256, which peeling allows.
+CELL = np.dtype([("n", "i1"), ("key", "<u8"), ("check", "<u8")])
 
 
 def paragraph_digests(text: bytes) -> np.ndarray:
@@ -38,14 +42,14 @@ def paragraph_digests(text: bytes) -> np.ndarray:
     if not text:
         return np.zeros(0, U64)
     b = np.frombuffer(text, np.uint8)
-    # The last four bytes as one number; the first three places have no cut but a line feed.
-    last = np.zeros(len(b), np.uint32)
-    if len(b) > 3:
-        for i in range(4):
-            last[3:] |= b[i : len(b) - 3 + i].astype(np.uint32) << np.uint32(8 * i)
-    last = (last ^ (last >> np.uint32(15))) * np.uint32(0x9E3779B1)
-    cut = (last ^ (last >> np.uint32(13))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - CUT_BITS) == 0
-    cut[:3] = False
+    # The last eight bytes as one number; the first seven places have no cut but a line feed.
+    cut = np.zeros(len(b), bool)
+    if len(b) > 7:
+        last = b.astype(U64)
+        for n in (1, 2, 4):
+            last = last[:-n] | last[n:] << U64(8 * n)
+        last = (last ^ (last >> U64(32))) * CUT_FACTOR
+        cut[7:] = last >> U64(64 - CUT_BITS) == 0
     ends = np.flatnonzero(cut | (b == 10)) + 1
     digest = xxhash.xxh3_64_intdigest
     edges = [0, *ends.tolist(), len(text)]
@@ -56,93 +60,161 @@ def paragraph_digests(text: bytes) -> np.ndarray:
     return np.where(copy > 0, mixed(h + copy.astype(U64) * CHECK), h)
 
 
-def _cells(keys: np.ndarray, size: int) -> np.ndarray:
-    """Three cells of each key, one in each third of the sketch."""
-    third = U64(size // 3)
-    return np.stack(
-        [
-            (mixed(keys + CELL_SEEDS[j]) % third).astype(np.int64)
-            + j * (size // 3)
-            for j in range(3)
-        ]
-    )
+def _larger(third: int) -> int:
+    """The next of the sizes 2, 3, 4, 6, 8, 12, ..., any two of which have a common divisor that
+    is not much less than the smaller one."""
+    return third * 3 // 2 if third & (third - 1) == 0 else third * 4 // 3
+
+
+def _roomy(paragraphs: int) -> int:
+    """Cells in a third of a sketch that most likely can be peeled."""
+    third = 2
+    while 3 * third < ROOM * paragraphs + LEAST:
+        third = _larger(third)
+    return third
 
 
 class Sketches:
-    """One sketch for each of several documents, side by side."""
-
-    def __init__(self, documents: int, size: int):
-        self.size = size
-        self.count = np.zeros(documents * size, np.int64)
-        self.keys = np.zeros(documents * size, U64)
-        self.checks = np.zeros(documents * size, U64)
-
-    def add(self, document: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
-        checks = mixed(keys ^ CHECK)
-        wrap = sign.astype(U64)  # -1 subtracts modulo 2**64
-        for cell in _cells(keys, self.size):
-            at = document * self.size + cell
-            np.add.at(self.count, at, sign)
-            np.add.at(self.keys, at, keys * wrap)
-            np.add.at(self.checks, at, checks * wrap)
-
-    def peel(self, documents: int) -> tuple[np.ndarray, np.ndarray]:
-        """How many keys each difference holds, and whether all of them were recovered."""
-        found = np.zeros(documents, np.int64)
-        while True:
-            look = np.flatnonzero(np.abs(self.count) == 1)
-            sign = self.count[look]
+    """Sketches of several documents side by side; ``thirds`` are a third of their cells each."""
+
+    def __init__(self, thirds: np.ndarray):
+        self.thirds = np.asarray(thirds, np.int64)
+        ends = np.cumsum(3 * self.thirds)
+        self.first = ends - 3 * self.thirds
+        cells = int(ends[-1]) if len(ends) else 0
+        self.count = np.zeros(cells, np.int8)
+        self.keys = np.zeros(cells, U64)
+        self.checks = np.zeros(cells, U64)
+
+    def add(self, which: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Add digests, or take them back; returns the cells that changed, three of each."""
+        checks, wrap = mixed(keys ^ CHECK), sign.astype(U64)  # -1 subtracts modulo 2**64
+        third, first = self.thirds[which], self.first[which]
+        cells = []
+        for j in range(3):
+            cell = mixed(keys + CELL_SEEDS[j]) % third.astype(U64)
+            cells.append(first + j * third + cell.astype(np.int64))
+            np.add.at(self.count, cells[j], sign.astype(np.int8))
+            np.add.at(self.keys, cells[j], keys * wrap)
+            np.add.at(self.checks, cells[j], checks * wrap)
+        return np.concatenate(cells)
+
+    def minus(self, left: np.ndarray, right: np.ndarray) -> Sketches:
+        """Differences of pairs of sketches, each pair folded to its common size."""
+        out = Sketches(np.gcd(self.thirds[left], self.thirds[right]))
+        for side, put in ((left, np.add), (right, np.subtract)):
+            size = 3 * self.thirds[side]
+            pair = np.repeat(np.arange(len(side)), size)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+            cell = self.first[side][pair] + place
+            third, fold = self.thirds[side][pair], out.thirds[pair]
+            at = out.first[pair] + place // third * fold + place % third % fold
+            put.at(out.count, at, self.count[cell])
+            put.at(out.keys, at, self.keys[cell])
+            put.at(out.checks, at, self.checks[cell])
+        return out
+
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digests recovered, the sketch of each, and which sketches were recovered whole.
+
+        Empties the sketches.
+        """
+        owner = np.repeat(np.arange(len(self.thirds)), 3 * self.thirds)
+        found, of = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        look = np.arange(len(owner))
+        for _ in range(len(owner) + 1):
+            look = look[np.abs(self.count[look]) == 1]
+            sign = self.count[look].astype(np.int64)
             keys = self.keys[look] * sign.astype(U64)
             pure = mixed(keys ^ CHECK) * sign.astype(U64) == self.checks[look]
-            at, sign, keys = look[pure], sign[pure], keys[pure]
-            if not len(at):
+            which, sign, keys = owner[look[pure]], sign[pure], keys[pure]
+            if not len(keys):
                 break
-            document = at // self.size
-            _, first = np.unique(keys ^ mixed(document.astype(U64)), return_index=True)
-            document, sign, keys = document[first], sign[first], keys[first]
-            self.add(document, keys, -sign)
-            found += np.bincount(document, minlength=documents)
+            _, once = np.unique(keys ^ mixed(which.astype(U64)), return_index=True)
+            which, sign, keys = which[once], sign[once], keys[once]
+            look = np.unique(self.add(which, keys, -sign))
+            found.append(keys)
+            of.append(which)
         left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
-        return found, ~left.reshape(documents, self.size).any(1)
+        whole = np.bincount(owner[left], minlength=len(self.thirds)) == 0
+        return np.concatenate(found), np.concatenate(of), whole
 
 
-def serialized(keys: np.ndarray) -> str:
-    """The fingerprint: number of paragraphs, and the cells of the smallest sketch."""
-    s = Sketches(1, CELLS)
-    s.add(np.zeros(len(keys), np.int64), keys, np.ones(len(keys), np.int64))
-    table = np.zeros(CELLS, [("n", "<i4"), ("key", "<u8"), ("check", "<u4")])
-    table["n"], table["key"], table["check"] = s.count, s.keys, s.checks >> U64(32)
-    return f"{len(keys):x}." + base64.b85encode(table.tobytes()).decode()
+def _filled(thirds: np.ndarray, digests: list[np.ndarray]) -> Sketches:
+    s = Sketches(thirds)
+    sizes = [len(x) for x in digests]
+    keys = np.concatenate([np.zeros(0, U64), *digests])
+    s.add(np.repeat(np.arange(len(sizes)), sizes), keys, np.ones(len(keys), np.int64))
+    return s
 
 
-def likeness(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Share of the paragraphs of two texts that both have (0 to 1), from what sketches recover."""
-    sizes = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
-    differ = np.zeros(len(pairs), np.int64)
-    least = np.abs(sizes[:, 0] - sizes[:, 1])
-    todo = np.arange(len(pairs))
-    size = CELLS
+def fingerprints(digests: list[np.ndarray]) -> list[str]:
+    """Each text's number of paragraphs and its sketch, large enough to recover all of them."""
+    out = [""] * len(digests)
+    thirds = np.array([_roomy(len(x)) for x in digests], np.int64)
+    todo = np.arange(len(digests))
     while len(todo):
-        # A sketch with fewer cells than there must be differences cannot be peeled.
-        now, later = todo[least[todo] <= size], todo[least[todo] > size]
-        failed = [later]
-        lot = max(1, BATCH_CELLS // size)
-        for first in range(0, len(now), lot):
-            part = now[first : first + lot]
-            s = Sketches(len(part), size)
-            for side, sign in ((0, 1), (1, -1)):
-                document = np.repeat(np.arange(len(part)), sizes[part, side])
-                keys = np.concatenate([pairs[i][side] for i in part])
-                s.add(document, keys, np.full(len(keys), sign, np.int64))
-            found, whole = s.peel(len(part))
-            differ[part[whole]] = found[whole]
-            failed.append(part[~whole])
-        todo = np.concatenate(failed)
-        size *= GROWTH
-    total = sizes.sum(1)
+        s = _filled(thirds[todo], [digests[i] for i in todo])
+        table = np.zeros(len(s.count), CELL)
+        table["n"], table["key"], table["check"] = s.count, s.keys, s.checks
+        *_, whole = s.peeled()
+        for i, first, third in zip(
+            todo[whole], s.first[whole].tolist(), s.thirds[whole].tolist(), strict=True
+        ):
+            cells = table[first : first + 3 * third].tobytes()
+            out[i] = f"{len(digests[i]):x}." + base64.b64encode(cells).decode()
+        todo = todo[~whole]
+        thirds[todo] = [_larger(t) for t in thirds[todo].tolist()]
+    return out
+
+
+def _parsed(prints: list[str]) -> tuple[np.ndarray, Sketches]:
+    sizes, cells = [], []
+    for x in prints:
+        size, _, data = x.partition(".")
+        sizes.append(int(size, 16))
+        cells.append(np.frombuffer(base64.b64decode(data), CELL))
+    s = Sketches(np.array([len(x) // 3 for x in cells], np.int64))
+    if cells:
+        table = np.concatenate(cells)
+        s.count, s.keys, s.checks = (np.ascontiguousarray(table[c]) for c in CELL.names)
+    return np.array(sizes, np.int64), s
+
+
+def likenesses(prints: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Likeness of pairs of fingerprints, named by their places in the list.
+
+    Share of the paragraphs of both texts that both have (0 to 1), a repeated paragraph as often
+    as both repeat it; 1 for two texts without paragraphs.
+    """
+    left, right = np.asarray(left, np.int64), np.asarray(right, np.int64)
+    sizes, sketches = _parsed(prints)
+    _, of, whole = sketches.minus(left, right).peeled()
+    differ = np.bincount(of, minlength=len(left))
+    todo = np.flatnonzero(~whole)
+    if len(todo):
+        keys, of, whole = sketches.peeled()
+        if not whole.all():
+            raise ValueError("not a fingerprint: its paragraphs cannot be recovered")
+        digests = np.split(keys[np.argsort(of, kind="stable")], np.cumsum(sizes)[:-1])
+        thirds = np.array([_roomy(n) for n in sizes[left[todo]] + sizes[right[todo]]], np.int64)
+    while len(todo):
+        n = len(todo)
+        both = _filled(
+            np.append(thirds, thirds), [digests[i] for i in (*left[todo], *right[todo])]
+        )
+        _, of, whole = both.minus(np.arange(n), np.arange(n, 2 * n)).peeled()
+        differ[todo[whole]] = np.bincount(of, minlength=n)[whole]
+        todo, thirds = todo[~whole], np.array([_larger(t) for t in thirds[~whole]], np.int64)
+    total = sizes[left] + sizes[right]
     return np.where(total > 0, (total - differ) / np.maximum(total, 1), 1.0)
 
 
+def likeness(fingerprint: str, other: str) -> float:
+    """Likeness of two texts from their fingerprints; see :func:`likenesses`."""
+    return float(likenesses([fingerprint, other], [0], [1])[0])
+
+
 def edited(text: str, other: str) -> str:
     """The last half of a text replaced by the first code points of another."""
     half = len(text) // 2
@@ -182,7 +254,8 @@ def edit_fingerprints(
 
     The edited text is :func:`edited` with the next document in descending order of id; after
     the last comes the first. Returns ``id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``. Null texts count as empty; two texts without
+    edited_fingerprint, near_edited, near_next``; the last two are the :func:`likeness` of the
+    fingerprint to the edited text's and to the next document's. Null texts count as empty; two texts without
     paragraphs have likeness 1. Rows of the same id are ordered by text. Rows without id come
     last, by a hash of the text and then the text, in ranges of their own. A single row is its
     own next. An empty table gives no rows; other columns are not read.
@@ -232,19 +305,21 @@ def edit_fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _pairs(batches):
+            n = len(lot)
             changed = [edited(text, other).encode() for _, text, other in lot]
-            own = [paragraph_digests(text.encode()) for _, text, _ in lot]
-            after = [paragraph_digests(x) for x in changed]
-            following = [*own[1:], paragraph_digests(lot[-1][2].encode())]
+            texts = [*[text.encode() for _, text, _ in lot], lot[-1][2].encode(), *changed]
+            prints = fingerprints([paragraph_digests(x) for x in texts])
+            own = np.arange(n)
+            near = likenesses(prints, np.append(own, own), np.append(own + n + 1, own + 1))
             yield pa.record_batch(
                 [
                     pa.array([x[0] for x in lot], pa.int64()),
                     pa.array([len(x[1]) for x in lot], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in changed]),
-                    pa.array([serialized(x) for x in own]),
-                    pa.array([serialized(x) for x in after]),
-                    pa.array(likeness(list(zip(own, after, strict=True)))),
-                    pa.array(likeness(list(zip(own, following, strict=True)))),
+                    pa.array(prints[:n]),
+                    pa.array(prints[n + 1 :]),
+                    pa.array(near[:n]),
+                    pa.array(near[n:]),
                 ],
                 names=[
                     "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
