@@ -34,6 +34,8 @@ SMOOTHING = 0.5
 FRACTION = 1 << 16
 CACHED_WORDS = 250_000
 COUNTED_WORDS = 400_000
+#: Leading bits of piece hashes that are looked up before a search.
+FIRST_BITS = 20
 BASE = U64(0x9E3779B97F4A7C15)
 
 
@@ -67,35 +69,45 @@ class Pieces:
             h = np.where(here > 0, h * BASE + here, h)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
+        # Most substrings are no piece; their first bits tell so without a search.
+        self.begun = np.zeros(1 << FIRST_BITS, bool)
+        self.begun[h >> U64(64 - FIRST_BITS)] = True
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for none."""
+        out = np.full(h.shape, -1, np.int32)
+        if len(self.hashes):
+            maybe = np.nonzero(self.begun[h >> U64(64 - FIRST_BITS)])
+            looked = h[maybe]
+            at = np.searchsorted(self.hashes, looked)
+            at[at == len(self.hashes)] = 0
+            out[maybe] = np.where(self.hashes[at] == looked, self.order[at], -1)
+        return out
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths, and the id of each word's piece that ends at a position with a length.
 
-        ``ids[w, end, n - 1]`` is -1 where that substring is no piece.
+        ``ids[end, n - 1, w]`` is -1 where that substring is no piece.
         """
         lengths = np.array([len(w) for w in words], np.int64)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(U64) + U64(1)
         wide = int(lengths.max())
-        row = np.repeat(np.arange(len(words)), lengths)
-        column = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        grid = np.zeros((len(words), wide), U64)
-        grid[row, column] = codes
-        prefix = np.zeros((len(words), wide + 1), U64)
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        grid = np.zeros((wide, len(words)), U64)
+        grid[place, word] = codes
+        prefix = np.zeros((wide + 1, len(words)), U64)
         for i in range(wide):
-            prefix[:, i + 1] = prefix[:, i] * BASE + grid[:, i]
+            prefix[i + 1] = prefix[i] * BASE + grid[i]
         most = min(self.longest, wide)
-        ids = np.full((len(words), wide + 1, most), -1, np.int32)
+        ids = np.full((wide + 1, most, len(words)), -1, np.int32)
         for n in range(1, most + 1):
-            h = prefix[:, n:] - prefix[:, :-n] * self.powers[n]
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            found = self.hashes[at] == h if len(self.hashes) else np.zeros(h.shape, bool)
-            own = np.where(found, self.order[at] if len(self.hashes) else -1, -1)
+            own = self._found(prefix[n:] - prefix[:-n] * self.powers[n])
             if n == 1:
-                own = np.where(found, own, self.size - 1)
-            ids[:, n:, n - 1] = own
-        beyond = np.arange(wide + 1)[None, :] > lengths[:, None]
-        ids[beyond] = -1
+                own[own < 0] = self.size - 1
+            ids[n:, n - 1] = own
+        beyond = np.arange(wide + 1)[:, None] > lengths[None, :]
+        ids.transpose(0, 2, 1)[beyond] = -1
         return lengths, ids
 
     def log_likelihood(self, words: list[str], probability: np.ndarray) -> np.ndarray:
@@ -103,12 +115,12 @@ class Pieces:
         if max(map(len, words)) > WORD_CHARS:
             return self._long_likelihood(words, probability)
         lengths, ids = self.lattice(words)
-        table = np.vstack([probability, np.zeros((1, probability.shape[1]))])  # id -1
-        alpha = np.zeros((ids.shape[1], len(words), probability.shape[1]))
+        alpha = np.zeros((ids.shape[0], len(words), probability.shape[1]))
         alpha[0] = 1
-        for end in range(1, ids.shape[1]):
-            for n in range(1, min(end, ids.shape[2]) + 1):
-                alpha[end] += alpha[end - n] * table[ids[:, end, n - 1]]
+        for end in range(1, ids.shape[0]):
+            for n in range(1, min(end, ids.shape[1]) + 1):
+                k = np.flatnonzero(ids[end, n - 1] >= 0)
+                alpha[end, k] += alpha[end - n, k] * probability[ids[end, n - 1, k]]
         return np.log(alpha[lengths, np.arange(len(words))])
 
     def expected_counts(self, words: list[str], weight: np.ndarray) -> np.ndarray:
@@ -117,26 +129,32 @@ class Pieces:
             return self._long_counts(words, weight)
         lengths, ids = self.lattice(words)
         p = 1.0 / self.size
-        wide, n_words = ids.shape[1] - 1, len(words)
-        use = ids >= 0
+        wide, most, n_words = ids.shape[0] - 1, ids.shape[1], len(words)
+        used = {
+            (end, n): np.flatnonzero(ids[end, n - 1] >= 0)
+            for end in range(1, wide + 1)
+            for n in range(1, min(end, most) + 1)
+        }
         alpha = np.zeros((wide + 1, n_words))
         alpha[0] = 1
         for end in range(1, wide + 1):
-            for n in range(1, min(end, ids.shape[2]) + 1):
-                alpha[end] += alpha[end - n] * (p * use[:, end, n - 1])
+            for n in range(1, min(end, most) + 1):
+                k = used[end, n]
+                alpha[end, k] += alpha[end - n, k] * p
         beta = np.zeros((wide + 1, n_words))
         beta[lengths, np.arange(n_words)] = 1
         for end in range(wide, 0, -1):
-            for n in range(1, min(end, ids.shape[2]) + 1):
-                beta[end - n] += beta[end] * (p * use[:, end, n - 1])
+            for n in range(1, min(end, most) + 1):
+                k = used[end, n]
+                beta[end - n, k] += beta[end, k] * p
         total = alpha[lengths, np.arange(n_words)]
         out = np.zeros((self.size, weight.shape[1]))
-        for n in range(1, ids.shape[2] + 1):
+        for n in range(1, most + 1):
             for end in range(n, wide + 1):
-                k = np.flatnonzero(use[:, end, n - 1])
+                k = used[end, n]
                 if len(k):
                     share = alpha[end - n, k] * p * beta[end, k] / total[k]
-                    piece = ids[k, end, n - 1]
+                    piece = ids[end, n - 1, k]
                     for c in range(weight.shape[1]):
                         out[:, c] += np.bincount(piece, share * weight[k, c], self.size)
         return out
@@ -144,14 +162,14 @@ class Pieces:
     def _parts(
         self, words: list[str], backward: bool = False
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``a, rows, ids`` for each part: ``ids[w, j]`` are pieces of ``rows[w]`` ending at a + j."""
+        """``a, rows, ids`` for each part: ``ids[j, :, w]`` are pieces of ``rows[w]`` ending at a + j."""
         lengths = np.array([len(w) for w in words])
         firsts = range(0, int(lengths.max()), PART)
         for a in reversed(firsts) if backward else firsts:
             rows = np.flatnonzero(lengths > a)
             before = min(a, self.longest - 1)
             _, ids = self.lattice([words[i][a - before : a + PART] for i in rows])
-            yield a, rows, ids[:, before:]
+            yield a, rows, ids[before:]
 
     def _forward(self, words: list[str], probability: np.ndarray) -> Iterator[tuple]:
         """``end, rows, state, log scale`` at every end of any word's piece."""
@@ -162,12 +180,12 @@ class Pieces:
         tail[-1] = 1
         for a, rows, ids in self._parts(words):
             # alpha[most - 1 + j] belongs to position a + j.
-            alpha = np.zeros((most + ids.shape[1] - 1, len(rows), shape[1]))
+            alpha = np.zeros((most + ids.shape[0] - 1, len(rows), shape[1]))
             alpha[:most] = tail[:, rows]
-            for j in range(1, ids.shape[1]):
+            for j in range(1, ids.shape[0]):
                 now = alpha[most - 1 + j]
-                for n in range(1, ids.shape[2] + 1):
-                    now += alpha[most - 1 + j - n] * table[ids[:, j, n - 1]]
+                for n in range(1, ids.shape[1] + 1):
+                    now += alpha[most - 1 + j - n] * table[ids[j, n - 1]]
                 yield a + j, rows, now, scale[rows]
                 if j % RESCALE == 0:
                     recent = alpha[j : most + j]
@@ -199,11 +217,11 @@ class Pieces:
         head, scale = np.zeros((most, len(words))), np.zeros(len(words))
         for a, rows, ids in self._parts(words, backward=True):
             # beta[most - 1 + j] belongs to position a + j; the last ones come from the next part.
-            beta = np.zeros((most + ids.shape[1] - 1, len(rows)))
+            beta = np.zeros((most + ids.shape[0] - 1, len(rows)))
             beta[-most:] = head[:, rows]
-            closing = lengths[rows] < a + ids.shape[1]
+            closing = lengths[rows] < a + ids.shape[0]
             beta[most - 1 + lengths[rows[closing]] - a, np.flatnonzero(closing)] = 1
-            for j in range(ids.shape[1] - 1, 0, -1):
+            for j in range(ids.shape[0] - 1, 0, -1):
                 if j % RESCALE == 0:
                     recent = beta[j : most + j]
                     top = recent.max(0)
@@ -213,11 +231,11 @@ class Pieces:
                 now = beta[most - 1 + j]
                 with np.errstate(divide="ignore"):
                     after = np.log(now) + scale[rows] + np.log(p) - total[rows]
-                for n in range(1, ids.shape[2] + 1):
-                    k = np.flatnonzero(ids[:, j, n - 1] >= 0)
+                for n in range(1, ids.shape[1] + 1):
+                    k = np.flatnonzero(ids[j, n - 1] >= 0)
                     if len(k):
                         share = np.exp(logs[a + j - n, rows[k]] + after[k])
-                        np.add.at(out, ids[k, j, n - 1], share[:, None] * weight[rows[k]])
+                        np.add.at(out, ids[j, n - 1, k], share[:, None] * weight[rows[k]])
                         beta[most - 1 + j - n, k] += now[k] * p
             head[:, rows] = beta[:most]
         return out
