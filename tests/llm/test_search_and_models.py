@@ -297,6 +297,48 @@ def test_letters_keep_marks_and_pieces_their_length():
     assert max(map(len, pieces)) > 10 and sum(not x.isalpha() for x in pieces) > 100
 
 
+def test_whole_rows_of_language_against_brute_force(spark):
+    """Learning, sums, prediction and score of every row, in decimals."""
+    rng = random.Random(12)
+    spoken = {"en": "the cat sat on this mat", "fr": "le chat était là où été", "xx": "qozzy the wub"}
+    rows = []
+    for i in range(24):
+        lang = rng.choice(list(spoken))
+        words = rng.choices(spoken[lang].split() + ["on", "12", "a-b"], k=rng.randint(1, 6))
+        mark = rng.choice(["", ".", "!"])
+        rows.append((i, " ".join(words).title() + mark, lang if i % 5 else None))
+    pieces = language.vocabulary_pieces(vocabulary_path())
+    size = len(pieces) + 1
+    even = [Decimal(1) / size] * size
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    text_words = {
+        i: [x for w in text.lower().split() if (x := "".join(filter(str.isalpha, w)))]
+        for i, text, _ in rows
+    }
+    uses = {w: summed(w, pieces, even)[1] for ws in text_words.values() for w in ws}
+    langs = sorted({lang for i, _, lang in rows if lang and not held[i]})
+    learned = {lang: np.full(size, 0.5) for lang in langs}
+    for i, _, lang in rows:
+        if lang and not held[i]:
+            for w in text_words[i]:
+                learned[lang] += uses[w]
+    chance = {}
+    for lang, n in learned.items():
+        p = [Decimal(x) for x in (n / n.sum()).tolist()]
+        chance[lang] = {w: summed(w, pieces, p)[0] for w in uses}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in language.identify(df, vocabulary_path()).collect()}
+    for i, _, _ in rows:
+        ways = [math.prod((chance[lang][w] for w in text_words[i]), start=Decimal(1)) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: ways[k])
+        assert got[i].held_out == held[i]
+        if not text_words[i]:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        assert got[i].lang_pred == langs[best]
+        assert math.isclose(got[i].score, float(ways[best] / sum(ways)), rel_tol=1e-3)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify(docs, vocabulary_path()).collect()
