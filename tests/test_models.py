@@ -72,6 +72,18 @@ def test_boosting_stops_early_and_keeps_its_losses(spark, table):
     assert [r["loss"] for r in ML.training_log(spark, whole).collect()] == [None, None]
 
 
+def test_backtest_trains_on_one_column(spark, table, monkeypatch):
+    """Every job of a fit carries the plan of its input, which must not list the features."""
+    kind = replace(ML.HOURS, feature_names=lambda *_: NAMES, min_train_days=lambda p: 0)
+    stored = []
+    keep = ML.stage_table
+    monkeypatch.setattr(ML, "stage_table", lambda df, name: stored.append(df.columns) or keep(df, name))
+    rows = ML.backtest(table, kind, replace(PARAMS, max_iter=2)).collect()
+    assert sorted((r["horizon_h"], r["fold"]) for r in rows) == [(1, 0), (1, 1), (3, 0), (3, 1)]
+    assert sum("vector" in c for c in stored) == 2 and not any("a" in c for c in stored)
+    assert {r["n_test"] for r in rows} == {53}
+
+
 def test_other_models_are_judged_once(spark, table):
     kind = replace(ML.HOURS, feature_names=lambda *_: NAMES)
     bundle = ML.train_models(table, kind, replace(PARAMS, model_name="logreg", hour_horizons=(1,)))

@@ -194,3 +194,18 @@ def test_rows_shuffled_for_folds_do_not_depend_on_their_number(hourly):
     lines = text.splitlines()
     explode = next(i for i, line in enumerate(lines) if "Generate explode(_folds" in line)
     assert not any("Exchange" in line for line in lines[:explode])
+
+
+def test_hundreds_of_features_are_filled_as_one_array(hourly):
+    """A window with as many columns took milliseconds a row."""
+    rng = np.random.default_rng(5)
+    columns = {f"f{i}": [*[None] * (i % 7), *rng.random(60 - i % 7)] for i in range(220)}
+    columns |= {"f0": [None] * 60, "f1": [None, 2.0, None] * 20}
+    df = hourly(**{n: [None if v is None else float(v) for v in vs] for n, vs in columns.items()})
+    filled = P.impute(df, list(columns))
+    folds = P.impute_folds(df, list(columns), P.Folds(2, 0))
+    for plan in (filled, folds):
+        assert "last(" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert column(filled, "f0") == [0.0] * 60 and column(filled, "f1") == [2.0] * 60
+    assert column(filled, "f6")[:7] == [columns["f6"][6]] * 7
+    assert folds.count() == 100
