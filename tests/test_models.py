@@ -93,3 +93,14 @@ def test_other_models_are_judged_once(spark, table):
 def test_unknown_models_are_refused():
     with pytest.raises(ValueError, match="gbt, rf, logreg"):
         ML.build_estimator("forest")
+
+
+def test_folds_of_arrays_equal_folds_of_columns(spark, table, kind):
+    folds = P.Folds(2, 0, "hour")
+    one = table.selectExpr("meter_id", "ts", "series_start", "series_end", "y_3 AS y", *NAMES)
+    moved = X.shift_features(one, NAMES, 3, kind.layout)
+    copied = P.expanding_splits(moved, 2, 0)
+    expected = P.impute(copied, NAMES, kind.layout, group=("fold", "role"))
+    own = P.fill_folds(ML._horizon_table(table, kind, 3, NAMES, PARAMS), 2, folds, kind.layout)
+    got = own.selectExpr("meter_id", "ts", "fold", "role", "y", "_v[0] AS a", "_v[1] AS b")
+    assert sorted(got.collect()) == sorted(expected.select(*got.columns).collect())
