@@ -76,6 +76,49 @@ def test_threshold_stops_early():
     assert ids.tolist() == best.tolist() and sum(met) < 400
 
 
+@pytest.mark.parametrize("kind", ["random", "few large", "huge", "ties", "empty"])
+def test_lots_of_queries_walk_together(kind, monkeypatch):
+    """Blocks met one after the other by a whole lot give each query's best, without a walk for
+    each query where walks would meet most rows."""
+    monkeypatch.setattr(topk, "CELLS", 1 << 13)
+    rng = np.random.default_rng(2)
+    dim = 0 if kind == "empty" else 8
+    rows = np.floor(rng.normal(0, 100, (900, dim)))
+    if kind == "few large":
+        rows[:40] *= np.repeat([300.0, 1.0], 4)
+    if kind == "huge":
+        rows *= 2.0**20
+    if kind == "ties":
+        rows = np.sign(rows)
+    ids = np.concatenate([np.arange(700), np.arange(200) % 7])  # some ids have many vectors
+    queries, qs = ids[:60], rows[:60].copy()
+    qs[0] = 0
+    best = topk.Best(queries, 5)
+    alone = []
+    top = topk.SortedLists.top
+    monkeypatch.setattr(topk.SortedLists, "top", lambda *a: (alone.append(a[1]), top(*a))[1])
+    for part in np.array_split(np.arange(900), 3):
+        topk.SortedLists(ids[part], rows[part]).improve(best, qs)
+    got = sorted(zip(best.at.tolist(), (-best.scores).tolist(), best.ids.tolist(), strict=True))
+    want = []
+    for i, q in enumerate(qs.astype(np.int64)):
+        own = {}
+        for key, score in zip(ids.tolist(), (rows.astype(np.int64) @ q).tolist(), strict=True):
+            if key != queries[i]:
+                own[key] = max(own.get(key, score), score)
+        want += [(i, *x) for x in sorted((-s, key) for key, s in own.items())[:5]]
+    assert got == sorted(want)
+    if kind == "random":
+        assert len(alone) <= 3  # only the query of zeros
+
+
+def test_blocks_below_the_floor_are_left_out():
+    rows = np.array([[1.0, 2.0], [3.0, 1.0], [2.0, -4.0]])
+    lists = topk.SortedLists(np.arange(3), rows)
+    qs = np.array([[1.0, 1.0], [1.0, -1.0], [1.0, 0.0]])
+    assert lists.depths(qs, np.array([6, 8, 3])).tolist() == [0, 0, 3]
+
+
 @pytest.mark.parametrize("files", [1, 6])
 def test_fingerprints(spark, documents, rows, files):
     spark.conf.set("spark.sql.shuffle.partitions", files)
