@@ -1,6 +1,7 @@
 """Training rows that horizons share, early stopping, and what a bundle keeps."""
 
 import datetime as dt
+import os
 import random
 from dataclasses import replace
 
@@ -84,6 +85,34 @@ def test_backtest_trains_on_one_column(spark, table, monkeypatch):
     assert {r["n_test"] for r in rows} == {53}
 
 
+def test_backtest_stores_the_folds_of_one_horizon_at_a_time(spark, table, monkeypatch):
+    kind = replace(ML.HOURS, feature_names=lambda *_: NAMES, min_train_days=lambda p: 0)
+    params = replace(PARAMS, max_iter=2)
+    keep, paths = ML.stage_table, []
+
+    def watch(df, name):
+        if "folds" in name:
+            assert not any(os.path.exists(p) for p in paths)
+        stored = keep(df, name)
+        if "folds" in name:
+            assert os.path.exists(stored.staged_at)
+            paths.append(stored.staged_at)
+        return stored
+
+    monkeypatch.setattr(ML, "stage_table", watch)
+    side_by_side = ML.backtest(table, kind, replace(params, hour_horizons=(3,))).collect()
+    monkeypatch.setattr(ML, "CELLS_AT_ONCE", 0)
+    found = ML.backtest(table, kind, params)
+    assert len(paths) == 3 and not any(os.path.exists(p) for p in paths)
+    rows = sorted(found.collect())
+    assert [r for r in rows if r["horizon_h"] == 3] == sorted(side_by_side)
+    for h in params.hour_horizons:
+        one = ML._horizon_table(table, kind, h, NAMES, params)
+        folds = P.fill_folds(one, len(NAMES), P.Folds(2, 0, "hour"), kind.layout)
+        facts = sorted(P.fold_facts(folds, (), "ts").collect())
+        assert [(r["fold"], *r[4:]) for r in rows if r["horizon_h"] == h] == [tuple(f) for f in facts]
+
+
 def test_other_models_are_judged_once(spark, table):
     kind = replace(ML.HOURS, feature_names=lambda *_: NAMES)
     bundle = ML.train_models(table, kind, replace(PARAMS, model_name="logreg", hour_horizons=(1,)))
